@@ -1 +1,10 @@
 """Named queries and the SQL they are checked against."""
+
+from __future__ import annotations
+
+
+def registries() -> list:
+    """The registries of the core, one per module."""
+    from millrace.plans import references
+
+    return [references.R]
