@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, packing, splitting
+from millrace.llm import leakage, mixing, mojibake, packing, pii, splitting
 from millrace.plans.registry import Registry
 from millrace.tables import bounded, load
 
@@ -67,3 +67,50 @@ def p8_mix(spark, where):
 def p8_shares(spark, where):
     """Shares reached by every target."""
     return mixing.mix(load(spark, where, "documents"), load(spark, where, "mix_targets"))[1]
+
+
+#: The key of the pseudonyms in the queries; a production run passes a secret one.
+DEMO_KEY = b"millrace-demo-key"
+
+
+@R.query("p4_found")
+def p4_found(spark, where):
+    """Items of personal information with their places and kinds."""
+    return pii.find_items(load(spark, where, "doc"), load(spark, where, "people_names")).select("id", "kind", "start_pos")
+
+
+@R.query("p4_masked")
+def p4_masked(spark, where):
+    """Every text with typed placeholders and format-preserving pseudonyms."""
+    return pii.mask_docs(load(spark, where, "doc"), load(spark, where, "people_names"), DEMO_KEY)
+
+
+@R.query(
+    "p7_found",
+    """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+    i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
+    ds AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+    si AS (SELECT item_id, array_to_string(w[k : k + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+    SELECT DISTINCT doc_id, item_id FROM ds JOIN si USING (s)""",
+)
+def p7_found(spark, where):
+    """Documents and the items that leaked into them."""
+    return leakage.find_leaks(load(spark, where, "documents"), load(spark, where, "eval_items")).select("doc_id", "item_id")
+
+
+@R.query("p7_near")
+def p7_near(spark, where):
+    """Leaks with up to two edits in a passage of twelve words."""
+    return leakage.find_leaks(load(spark, where, "documents"), load(spark, where, "eval_items"), edits=2, exact=False)
+
+
+@R.query("p9_found")
+def p9_found(spark, where):
+    """Documents with a stretch garbled by a wrong decoding."""
+    return mojibake.find_garbled(load(spark, where, "documents")).select("doc_id")
+
+
+@R.query("p9_restored")
+def p9_restored(spark, where):
+    """Those documents with their text restored as far as possible."""
+    return mojibake.find_garbled(load(spark, where, "documents"))
