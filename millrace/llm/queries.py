@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage, mixing, mojibake, packing, pii, splitting
+from millrace.llm import leakage, mixing, mojibake, neardup, packing, pii, splitting
 from millrace.plans.registry import Registry
 from millrace.tables import bounded, load
 
@@ -114,3 +114,21 @@ def p9_found(spark, where):
 def p9_restored(spark, where):
     """Those documents with their text restored as far as possible."""
     return mojibake.find_garbled(load(spark, where, "documents"))
+
+
+@R.query("p3_found")
+def p3_found(spark, where):
+    """Pairs of intake texts with similarity of at least 0.7."""
+    return neardup.similar_pairs(load(spark, where, "doc"))
+
+
+@R.query("p3_groups")
+def p3_groups(spark, where):
+    """Documents with their group of largely equal texts."""
+    return neardup.groups(load(spark, where, "doc"))
+
+
+@R.query("p3_report")
+def p3_report(spark, where):
+    """Size of every group and the sources it spans."""
+    return neardup.group_report(neardup.groups(load(spark, where, "doc")))
