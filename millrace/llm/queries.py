@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage, mixing, mojibake, neardup, packing, pii, splitting
+from millrace.llm import knn, leakage, mixing, mojibake, neardup, packing, pii, splitting
 from millrace.plans.registry import Registry
 from millrace.tables import bounded, load
 
@@ -132,3 +132,25 @@ def p3_groups(spark, where):
 def p3_report(spark, where):
     """Size of every group and the sources it spans."""
     return neardup.group_report(neardup.groups(load(spark, where, "doc")))
+
+
+@R.query(
+    "p6_found",
+    """WITH u AS (SELECT DISTINCT chunk_id AS id, kind, CAST(vec AS DOUBLE[]) AS v FROM vectors
+      WHERE vec IS NOT NULL AND len(vec) = dim AND len(list_filter(vec, lambda x: isnan(x) OR x IS NULL)) = 0
+        AND len(list_filter(vec, lambda x: x <> 0)) > 0),
+    s AS (SELECT a.id AS a, b.id AS b, a.kind, list_cosine_similarity(a.v, b.v) AS c
+      FROM u a JOIN u b ON a.kind = b.kind AND len(a.v) = len(b.v) AND a.id <> b.id),
+    r AS (SELECT a, b, c, row_number() OVER (PARTITION BY kind, a ORDER BY c DESC, b) AS rk FROM s WHERE c >= 0.9)
+    SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE rk <= 5""",
+)
+def p6_found(spark, where):
+    """Close pairs of vectors of one kind."""
+    return knn.close_pairs(load(spark, where, "vectors"))
+
+
+@R.query("p6_knn")
+def p6_knn(spark, where):
+    """The ten most similar vectors of every vector whose chunk id is divisible by 20, searched more widely."""
+    rows = load(spark, where, "vectors")
+    return knn.nearest(rows, 10, queries=F.col("chunk_id") % 20 == 0, extra_cells=10, trees=8, extra_leaves=48)
