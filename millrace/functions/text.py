@@ -1,0 +1,217 @@
+"""Text measures and clean-up as column expressions; Python only where Spark has no expression.
+
+All take and return columns. Null text gives null, except where a docstring
+says otherwise. Characters are counted in code points.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: The common words by which English is told.
+STOPWORDS = tuple(
+    """the be to of and a in that have i it for not on with he as you do at
+    this but his by from they we say her she or an will my one all would
+    there their what so up out if about who get which go me when make can
+    like time no just him know take people into year your good some could
+    them see other than then now look only come its over think also back
+    after use two how our work first well way even new want because any
+    these give day most us was were has had said them more very""".split()
+)
+#: Endings of the light stemmer and its exceptions.
+PLURAL_ES = ("sses", "xes", "ches", "shes", "zes")
+KEEP_S = ("ss", "us", "is")
+#: White space as Python sees it; Java's \\s is ASCII only.
+SPACE = r"\s\x{85}\p{Z}\x0b\x1c-\x1f"
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Compatibility composition; Spark has no expression for it."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
+def normalize(c: Column, compose: bool = True) -> Column:
+    """Composed, without control characters, with plain line ends, single blanks and at most one empty line. Idempotent."""
+    c = nfkc(c) if compose else c
+    c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    c = F.regexp_replace(c, r"\r\n?", "\n")
+    c = F.regexp_replace(c, r"[ \t\x{a0}]+", " ")
+    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
+def count(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(pattern))
+
+
+def n_words(c: Column) -> Column:
+    """Runs of anything but white space."""
+    return count(c, f"[^{SPACE}]+")
+
+
+def language_score(c: Column) -> Column:
+    """0 to 1: half by the share of common words, half by the share of ASCII letters; 0 without words."""
+    words = F.regexp_extract_all(F.lower(c), F.lit("([a-z']+)"))
+    n = F.size(words)
+    stops = F.size(F.filter(words, lambda w: w.isin(*STOPWORDS)))
+    letters = F.length(F.regexp_replace(c, "[^A-Za-z]", ""))
+    score = 0.5 * F.least(stops / n / 0.35, F.lit(1.0)) + 0.5 * F.least(letters / F.length(c) / 0.75, F.lit(1.0))
+    return F.when(n > 0, score).otherwise(0.0)
+
+
+def symbol_ratio(c: Column) -> Column:
+    """Share of characters that are neither letter, number nor white space."""
+    return count(c, rf"[^\p{{L}}\p{{N}}{SPACE}]") / F.length(c)
+
+
+def repeats(lines: Column) -> Column:
+    """Of an array of lines: (times of the most frequent one, lines that occur more than once).
+
+    One pass over the sorted array, so long texts don't cost the square of their lines.
+    """
+    start = F.struct(
+        F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("twice")
+    )
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(s["last"].eqNullSafe(x), s["run"] + 1).otherwise(1)
+        return F.struct(
+            x.alias("last"),
+            run.alias("run"),
+            F.greatest(s["most"], run).alias("most"),
+            (s["twice"] + F.when(run == 2, 1).otherwise(0)).alias("twice"),
+        )
+
+    return F.aggregate(F.array_sort(lines), start, step, lambda s: F.struct(s["most"], s["twice"]))
+
+
+def _reasons(*pairs: tuple[Column, str]) -> Column:
+    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in pairs]))
+
+
+def quality_a(c: Column, min_words: int = 25, max_symbols: float = 0.15, min_score: float = 0.6) -> Column:
+    """Struct (score, passed, reasons): the first hard rule that fails rejects, soft rules subtract."""
+    words, chars = n_words(c), F.length(c)
+    long = F.transform(F.filter(F.split(c, "\n"), lambda x: F.length(x) >= 25), strip)
+    rep = repeats(long)
+    letters = count(c, r"\p{L}")
+    upper = count(c, r"\p{Lu}")
+    urls = count(c, r"https?://\S+")
+    mean = F.length(F.regexp_replace(c, f"[{SPACE}]", "")) / words
+    hard = F.when(chars < 200, "too-short").when(words < min_words, "too-few-words")
+    hard = hard.when(symbol_ratio(c) > max_symbols, "symbol-soup").when(rep["most"] >= 3, "repeated-lines")
+    soft = (
+        (rep["twice"] >= 2, "repeated-lines-twice", 0.4),
+        (c.rlike("(?i)lorem ipsum"), "lorem-ipsum", 0.5),
+        ((letters / chars > 0.3) & (upper / F.greatest(letters, F.lit(1)) > 0.4), "shouting", 0.3),
+        (mean > 9, "mean-word-length", 0.3),
+        (urls > F.greatest(words / 100, F.lit(3)), "link-farm", 0.3),
+    )
+    loss = sum((F.when(cond, F.lit(w)).otherwise(0.0) for cond, _, w in soft), F.lit(0.0))
+    score = F.round(F.lit(1.0) - loss, 6)
+    return F.when(
+        hard.isNotNull(), F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("passed"), F.array(hard).alias("reasons"))
+    ).otherwise(
+        F.struct(
+            F.greatest(score, F.lit(0.0)).alias("score"),
+            (score >= min_score).alias("passed"),
+            _reasons(*[(cond, name) for cond, name, _ in soft]).alias("reasons"),
+        )
+    )
+
+
+def quality_b(c: Column) -> Column:
+    """Struct (score, verdict, reasons): all hard reasons are named; each soft one costs 0.15."""
+    word = r"[\p{L}\p{N}_]+"
+    words, chars = count(c, word), F.length(c)
+    lines = F.filter(F.transform(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), strip), lambda x: x != "")
+    letters, upper = count(c, r"\p{L}"), count(c, r"\p{Lu}")
+    hard = _reasons(
+        (chars < 200, "too-short"),
+        (words < 25, "too-few-words"),
+        (F.when(chars > 0, symbol_ratio(c)).otherwise(1.0) > 0.15, "symbol-ratio"),
+        (repeats(lines)["most"] >= 3, "repeated-lines"),
+    )
+    soft = _reasons(
+        ((letters > 0) & (upper / F.greatest(letters, F.lit(1)) > 0.5), "shouting-caps"),
+        (F.length(F.regexp_replace(c, r"[^\p{L}\p{N}_]", "")) / words > 9, "mean-word-length"),
+        (c.rlike(r"(?i)lorem\s+ipsum"), "lorem-ipsum"),
+        (count(c, r"https?://\S+") > 4, "link-farm"),
+    )
+    score = F.round(F.greatest(F.lit(0.0), 1.0 - 0.15 * F.size(soft)), 2)
+    return F.when(
+        F.size(hard) > 0, F.struct(F.lit(0.0).alias("score"), F.lit("FAIL").alias("verdict"), hard.alias("reasons"))
+    ).otherwise(
+        F.struct(score.alias("score"), F.when(score >= 0.85, "PASS").otherwise("WARN").alias("verdict"), soft.alias("reasons"))
+    )
+
+
+def stem(t: Column) -> Column:
+    """Light suffix stripper for one lower-case token; the first rule that applies wins."""
+    n = F.length(t)
+
+    def ends(*xs: str) -> Column:
+        out = F.lit(False)
+        for x in xs:
+            out = out | F.endswith(t, F.lit(x))
+        return out
+
+    def cut(k: int) -> Column:
+        return F.substring(t, F.lit(1), n - k)
+
+    return (
+        F.when(ends(*PLURAL_ES), cut(2))
+        .when(ends("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
+        .when(ends("ing") & (n >= 6), cut(3))
+        .when(ends("ed") & (n >= 5), cut(2))
+        .when(ends("s") & (n >= 4) & ~ends(*KEEP_S), cut(1))
+        .otherwise(t)
+    )
+
+
+def tokens(c: Column) -> Column:
+    """Stemmed lower-case search tokens of a text, in order."""
+    return F.transform(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9$%][a-z0-9._%]*)")), stem)
+
+
+def shingles(c: Column, k: int = 5) -> Column:
+    """Distinct runs of ``k`` words [a-z0-9]+; a shorter text is one run, one without words none."""
+    words = F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"))
+    n = F.size(words)
+    runs = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " "))
+    return (
+        F.when(n >= k, F.array_distinct(runs)).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+    )
+
+
+def sentences(c: Column, above: int = 30, below: int = 400) -> Column:
+    """Stripped sentences longer than ``above`` and shorter than ``below``."""
+    cut = F.transform(F.split(c, rf"(?<=[.!?])[{SPACE}]+"), strip)
+    return F.filter(cut, lambda s: (F.length(s) > above) & (F.length(s) < below))
+
+
+def keyword_rate(reply: Column, keywords: Column) -> Column:
+    """Share of the keywords that the reply contains, in any case; 0 without keywords or reply."""
+    n = F.size(keywords)
+    hits = F.size(F.filter(keywords, lambda k: F.contains(F.lower(reply), F.lower(k))))
+    return F.when(n > 0, F.coalesce(hits, F.lit(0)) / n).otherwise(0.0)
+
+
+def check_answer(answer: Column, must: Column) -> Column:
+    """Whether the answer contains, of every list of alternatives, at least one (in any case)."""
+    low = F.lower(answer)
+    return F.forall(must, lambda alts: F.exists(alts, lambda a: F.contains(low, F.lower(a))))
+
+
+def last_verdict(c: Column) -> Column:
+    """True if the last of the marks ``VERDICT: PASS`` and ``VERDICT: FAIL`` is PASS; without marks false."""
+    return F.regexp_extract(F.upper(c), r"(?s).*VERDICT: (PASS|FAIL)", 1) == "PASS"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("references", "cleaning")
+
 
 def registries() -> list:
     """The registries of the core, one per module."""
-    from millrace.plans import references
-
-    return [references.R]
+    return [import_module(f"millrace.plans.{m}").R for m in MODULES]
