@@ -48,7 +48,7 @@ def parents_by_key(targets: DataFrame, key: str, since: str | None, deleted: str
     A live row without a time counts as always there. A key all of whose rows
     are deleted gets the largest long. Null keys are dropped, they match nothing.
     """
-    at = F.coalesce(F.unix_micros(F.col(since)), F.lit(int(_ALWAYS))) if since else F.lit(int(_ALWAYS))
+    at = F.coalesce(F.unix_micros(F.col(since).cast("timestamp")), F.lit(int(_ALWAYS))) if since else F.lit(int(_ALWAYS))
     live = F.col(deleted).isNull() if deleted else F.lit(True)
     return (
         targets.where(F.col(key).isNotNull())
@@ -64,7 +64,7 @@ def references(table: str, rows: DataFrame, ref_id: Column, key: str, at: str |
         F.lit(table).alias("ref_table"),
         ref_id.cast("string").alias("ref_id"),
         F.col(key).alias("key"),
-        (F.unix_micros(F.col(at)) if at else F.lit(None).cast("long")).alias("ref_at"),
+        (F.unix_micros(F.col(at).cast("timestamp")) if at else F.lit(None).cast("long")).alias("ref_at"),
         (F.date_format(F.col(at), "yyyy-MM") if at else F.lit(None).cast("string")).alias("period"),
     )
 
