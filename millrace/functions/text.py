@@ -36,6 +36,11 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def bind(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once: inside a lambda an outer expression would be computed per element."""
+    return F.element_at(F.transform(F.array(value), lambda v: f(v)), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
@@ -185,12 +190,13 @@ def tokens(c: Column) -> Column:
 
 def shingles(c: Column, k: int = 5) -> Column:
     """Distinct runs of ``k`` words [a-z0-9]+; a shorter text is one run, one without words none."""
-    words = F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"))
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return (
-        F.when(n >= k, F.array_distinct(runs)).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    )
+
+    def run(words: Column) -> Column:
+        n = F.size(words)
+        runs = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " "))
+        return F.when(n >= k, F.array_distinct(runs)).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+
+    return bind(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)")), run)
 
 
 def sentences(c: Column, above: int = 30, below: int = 400) -> Column:
@@ -202,14 +208,13 @@ def sentences(c: Column, above: int = 30, below: int = 400) -> Column:
 def keyword_rate(reply: Column, keywords: Column) -> Column:
     """Share of the keywords that the reply contains, in any case; 0 without keywords or reply."""
     n = F.size(keywords)
-    hits = F.size(F.filter(keywords, lambda k: F.contains(F.lower(reply), F.lower(k))))
+    hits = bind(F.lower(reply), lambda low: F.size(F.filter(keywords, lambda k: F.contains(low, F.lower(k)))))
     return F.when(n > 0, F.coalesce(hits, F.lit(0)) / n).otherwise(0.0)
 
 
 def check_answer(answer: Column, must: Column) -> Column:
     """Whether the answer contains, of every list of alternatives, at least one (in any case)."""
-    low = F.lower(answer)
-    return F.forall(must, lambda alts: F.exists(alts, lambda a: F.contains(low, F.lower(a))))
+    return bind(F.lower(answer), lambda low: F.forall(must, lambda alts: F.exists(alts, lambda a: F.contains(low, F.lower(a)))))
 
 
 def last_verdict(c: Column) -> Column:

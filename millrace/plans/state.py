@@ -15,16 +15,16 @@ def _events(spark, where):
     return S.with_micros(load(spark, where, "events"))
 
 
-_ORD = """WITH RECURSIVE e AS (SELECT *, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),"""
+_ORD = """WITH RECURSIVE e AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),"""
 
 
 @R.query(
     "token_bucket",
     _ORD + """ b AS (
-      SELECT user_id, event_id, rn, at, true AS allowed, CAST(2.0 AS DOUBLE) AS tokens FROM e WHERE rn = 1
+      SELECT user_id, event_id, rn, us, true AS allowed, CAST(2.0 AS DOUBLE) AS tokens FROM e WHERE rn = 1
       UNION ALL
-      SELECT user_id, event_id, rn, at, t >= 1 AS allowed, CASE WHEN t >= 1 THEN t - 1 ELSE t END AS tokens FROM (
-        SELECT e.user_id, e.event_id, e.rn, e.at, least(CAST(3.0 AS DOUBLE), b.tokens + CAST(e.at - b.at AS DOUBLE) / 1e6 * CAST(0.00001 AS DOUBLE)) AS t
+      SELECT user_id, event_id, rn, us, t >= 1 AS allowed, CASE WHEN t >= 1 THEN t - 1 ELSE t END AS tokens FROM (
+        SELECT e.user_id, e.event_id, e.rn, e.us, least(CAST(3.0 AS DOUBLE), b.tokens + CAST(e.us - b.us AS DOUBLE) / 1e6 * CAST(0.00001 AS DOUBLE)) AS t
         FROM b JOIN e ON e.user_id = b.user_id AND e.rn = b.rn + 1))
     SELECT user_id, event_id, allowed, round(tokens, 6) AS tokens FROM b""",
 )
@@ -52,14 +52,14 @@ def budget_ledger(spark, where):
 @R.query(
     "circuit_breaker",
     _ORD + """ b AS (
-      SELECT user_id, event_id, rn, at, true AS called, 'closed' AS state, CAST(event_type = 'error' AS INT) AS failures, CAST(0 AS BIGINT) AS since FROM e WHERE rn = 1
+      SELECT user_id, event_id, rn, us, true AS called, 'closed' AS state, CAST(event_type = 'error' AS INT) AS failures, CAST(0 AS BIGINT) AS since FROM e WHERE rn = 1
       UNION ALL
-      SELECT user_id, event_id, rn, at, s0 <> 'open',
+      SELECT user_id, event_id, rn, us, s0 <> 'open',
         CASE WHEN s0 = 'open' THEN 'open' WHEN NOT bad THEN 'closed' WHEN s0 = 'half-open' OR f0 + 1 >= 2 THEN 'open' ELSE s0 END,
         CASE WHEN s0 = 'open' THEN f0 WHEN NOT bad THEN 0 ELSE f0 + 1 END,
-        CASE WHEN s0 <> 'open' AND bad AND (s0 = 'half-open' OR f0 + 1 >= 2) THEN at ELSE since END
-      FROM (SELECT e.user_id, e.event_id, e.rn, e.at, e.event_type = 'error' AS bad, b.failures AS f0, b.since,
-              CASE WHEN b.state = 'open' AND e.at - b.since >= 86400000000 THEN 'half-open' ELSE b.state END AS s0
+        CASE WHEN s0 <> 'open' AND bad AND (s0 = 'half-open' OR f0 + 1 >= 2) THEN us ELSE since END
+      FROM (SELECT e.user_id, e.event_id, e.rn, e.us, e.event_type = 'error' AS bad, b.failures AS f0, b.since,
+              CASE WHEN b.state = 'open' AND e.us - b.since >= 86400000000 THEN 'half-open' ELSE b.state END AS s0
             FROM b JOIN e ON e.user_id = b.user_id AND e.rn = b.rn + 1))
     SELECT user_id, event_id, called, state, failures FROM b""",
 )
@@ -72,9 +72,9 @@ def circuit_breaker(spark, where):
 @R.query(
     "replay_check",
     _ORD.replace("PARTITION BY user_id", "PARTITION BY user_id, event_type") + """ b AS (
-      SELECT user_id, event_type, event_id, rn, true AS passed, at AS first FROM e WHERE rn = 1
+      SELECT user_id, event_type, event_id, rn, true AS passed, us AS first FROM e WHERE rn = 1
       UNION ALL
-      SELECT e.user_id, e.event_type, e.event_id, e.rn, e.at - b.first > 259200000000, CASE WHEN e.at - b.first > 259200000000 THEN e.at ELSE b.first END
+      SELECT e.user_id, e.event_type, e.event_id, e.rn, e.us - b.first > 259200000000, CASE WHEN e.us - b.first > 259200000000 THEN e.us ELSE b.first END
       FROM b JOIN e ON e.user_id = b.user_id AND e.event_type = b.event_type AND e.rn = b.rn + 1)
     SELECT event_id, passed FROM b""",
 )
