@@ -21,9 +21,9 @@ def gated(docs: DataFrame, min_language: float = 0.45, min_quality: float = 0.6,
     """``docs`` (doc_id, text) with clean text, pii counts, scores, and the first stateless stage that drops the row.
 
     Null and empty texts drop at ``normalize``. Later stages see the normalised,
-    scrubbed text.
+    scrubbed text. Other columns are left out, so none can clash.
     """
-    clean = docs.withColumn("clean", X.normalize(F.col("text"), compose))
+    clean = docs.select("doc_id", "text").withColumn("clean", X.normalize(F.col("text"), compose))
     if scrubbed:
         clean = clean.withColumn("s", S.scrub(F.col("clean"))).withColumn("clean", F.col("s.text")).withColumn("pii", F.col("s.counts")).drop("s")
     c = F.col("clean")

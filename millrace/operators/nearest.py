@@ -76,13 +76,8 @@ def exact(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cos
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Share of the true neighbours that were found: one row (queries, recall)."""
-    a = truth.groupBy("query").agg(F.collect_set("id").alias("want"))
-    b = found.groupBy("query").agg(F.collect_set("id").alias("got"))
-    both = a.join(b, "query", "left").select(
-        F.size(F.array_intersect("want", F.coalesce("got", F.array().cast(truth.select(F.collect_set("id")).schema[0].dataType)))).alias("hit"),
-        F.size("want").alias("n"),
-    )
-    return both.agg(F.count("*").alias("queries"), F.round(F.sum("hit") / F.sum("n"), 6).alias("recall"))
+    hit = truth.select("query", "id").join(found.select("query", "id", F.lit(1).alias("hit")).distinct(), ["query", "id"], "left")
+    return hit.agg(F.countDistinct("query").alias("queries"), F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count("*"), 6).alias("recall"))
 
 
 def route(near: DataFrame, outcomes: DataFrame, tiers: DataFrame, floor: float = 0.9, k: int = 5) -> DataFrame:

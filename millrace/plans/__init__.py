@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("references", "cleaning", "retrieval", "state", "textops")
+MODULES = ("references", "cleaning", "retrieval", "state", "textops", "relational")
 
 
 def registries() -> list:
