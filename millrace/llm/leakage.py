@@ -141,11 +141,14 @@ class Index:
         return list(dict.fromkeys(out))
 
 
-def banded_edits(a: str, b: str, most: int) -> int:
-    """Edit distance of two texts within ``most`` diagonals, or ``most + 1`` if it is larger."""
-    if abs(len(a) - len(b)) > most:
+def banded_edits(a: str, b: str, most: int, loose: bool = False) -> int:
+    """Edit distance of two texts within ``most`` diagonals, or ``most + 1`` if it is larger.
+
+    With ``loose`` the end of ``b`` is free: the distance to its best beginning.
+    """
+    if not loose and abs(len(a) - len(b)) > most or len(a) - len(b) > most:
         return most + 1
-    if a == b:
+    if a == b or loose and b.startswith(a):
         return 0
     inf = most + 1
     row = {j: j for j in range(min(most, len(b)) + 1)}
@@ -161,7 +164,7 @@ def banded_edits(a: str, b: str, most: int) -> int:
         row = new
         if min(row.values()) >= inf:
             return inf
-    return min(inf, row.get(len(b), inf))
+    return min(inf, min(row.values()) if loose else row.get(len(b), inf))
 
 
 def longest_run(a: list[str], b: list[str], around: int, slack: int) -> tuple[int, int]:
@@ -187,8 +190,8 @@ def leaks_of(text: str | None, index: Index) -> list[tuple[int, int, int, int, i
     flat = " ".join(w)
     found: dict[int, tuple[int, int, int, int]] = {}
     for item, diagonal, first, last in index.regions(flat):
-        mine, theirs = flat[first : last + index.q], index.texts[item][first - diagonal : last + index.q - diagonal]
-        edits = banded_edits(mine, theirs, index.edits)
+        mine, theirs = flat[first : last + index.q], index.texts[item][first - diagonal : last + index.q - diagonal + index.edits]
+        edits = banded_edits(mine, theirs, index.edits, loose=True)
         if edits > index.edits and index.edits == 0:
             # Equal q-grams on one diagonal with a gap: the parts between the gaps still count.
             edits = sum(x != y for x, y in zip(mine, theirs))

@@ -14,7 +14,6 @@ undecided documents of all blocks of a source fly once more together.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd

@@ -15,7 +15,6 @@ last windows, one in about a thousand.
 from __future__ import annotations
 
 from bisect import bisect_right, insort
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,6 +164,8 @@ def pack_chunks(chunks: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
         .groupBy("id")
         .agg(F.max("n").alias("n"))
     )
+    if not limits:
+        return chunks.sparkSession.createDataFrame([], PLACED)
     count = items.count()
     blocks = max(1, round(count / ITEMS_PER_BLOCK))
     limits = sorted((int(c), str(name)) for name, c in limits)
