@@ -65,17 +65,20 @@ def n_words(c: Column) -> Column:
 
 def language_score(c: Column) -> Column:
     """0 to 1: half by the share of common words, half by the share of ASCII letters; 0 without words."""
-    words = F.regexp_extract_all(F.lower(c), F.lit("([a-z']+)"))
-    n = F.size(words)
-    stops = F.size(F.filter(words, lambda w: w.isin(*STOPWORDS)))
-    letters = F.length(F.regexp_replace(c, "[^A-Za-z]", ""))
-    score = 0.5 * F.least(stops / n / 0.35, F.lit(1.0)) + 0.5 * F.least(letters / F.length(c) / 0.75, F.lit(1.0))
-    return F.when(n > 0, score).otherwise(0.0)
+
+    def score(words: Column) -> Column:
+        n = F.size(words)
+        stops = F.size(F.filter(words, lambda w: w.isin(*STOPWORDS)))
+        letters = count(c, "[A-Za-z]")
+        mean = 0.5 * F.least(F.try_divide(stops, n) / 0.35, F.lit(1.0)) + 0.5 * F.least(F.try_divide(letters, F.length(c)) / 0.75, F.lit(1.0))
+        return F.when(n > 0, mean).otherwise(0.0)
+
+    return bind(F.regexp_extract_all(F.lower(c), F.lit("([a-z']+)")), score)
 
 
 def symbol_ratio(c: Column) -> Column:
     """Share of characters that are neither letter, number nor white space."""
-    return count(c, rf"[^\p{{L}}\p{{N}}{SPACE}]") / F.length(c)
+    return F.try_divide(count(c, rf"[^\p{{L}}\p{{N}}{SPACE}]"), F.length(c))
 
 
 def repeats(lines: Column) -> Column:
@@ -105,60 +108,82 @@ def _reasons(*pairs: tuple[Column, str]) -> Column:
 
 def quality_a(c: Column, min_words: int = 25, max_symbols: float = 0.15, min_score: float = 0.6) -> Column:
     """Struct (score, passed, reasons): the first hard rule that fails rejects, soft rules subtract."""
-    words, chars = n_words(c), F.length(c)
     long = F.transform(F.filter(F.split(c, "\n"), lambda x: F.length(x) >= 25), strip)
-    rep = repeats(long)
-    letters = count(c, r"\p{L}")
-    upper = count(c, r"\p{Lu}")
-    urls = count(c, r"https?://\S+")
-    mean = F.length(F.regexp_replace(c, f"[{SPACE}]", "")) / words
-    hard = F.when(chars < 200, "too-short").when(words < min_words, "too-few-words")
-    hard = hard.when(symbol_ratio(c) > max_symbols, "symbol-soup").when(rep["most"] >= 3, "repeated-lines")
-    soft = (
-        (rep["twice"] >= 2, "repeated-lines-twice", 0.4),
-        (c.rlike("(?i)lorem ipsum"), "lorem-ipsum", 0.5),
-        ((letters / chars > 0.3) & (upper / F.greatest(letters, F.lit(1)) > 0.4), "shouting", 0.3),
-        (mean > 9, "mean-word-length", 0.3),
-        (urls > F.greatest(words / 100, F.lit(3)), "link-farm", 0.3),
+    measures = F.struct(
+        n_words(c).alias("words"),
+        F.length(c).alias("chars"),
+        symbol_ratio(c).alias("symbols"),
+        repeats(long).alias("rep"),
+        count(c, r"\p{L}").alias("letters"),
+        count(c, r"\p{Lu}").alias("upper"),
+        count(c, r"https?://\S+").alias("urls"),
+        F.length(F.regexp_replace(c, f"[{SPACE}]+", "")).alias("inked"),
+        c.rlike("(?i)lorem ipsum").alias("lorem"),
     )
-    loss = sum((F.when(cond, F.lit(w)).otherwise(0.0) for cond, _, w in soft), F.lit(0.0))
-    score = F.round(F.lit(1.0) - loss, 6)
-    return F.when(
-        hard.isNotNull(), F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("passed"), F.array(hard).alias("reasons"))
-    ).otherwise(
-        F.struct(
-            F.greatest(score, F.lit(0.0)).alias("score"),
-            (score >= min_score).alias("passed"),
-            _reasons(*[(cond, name) for cond, name, _ in soft]).alias("reasons"),
+
+    def judge(m: Column) -> Column:
+        words, chars, letters = m["words"], m["chars"], m["letters"]
+        hard = F.when(chars < 200, "too-short").when(words < min_words, "too-few-words")
+        hard = hard.when(m["symbols"] > max_symbols, "symbol-soup").when(m["rep"]["most"] >= 3, "repeated-lines")
+        soft = (
+            (m["rep"]["twice"] >= 2, "repeated-lines-twice", 0.4),
+            (m["lorem"], "lorem-ipsum", 0.5),
+            ((F.try_divide(letters, chars) > 0.3) & (m["upper"] / F.greatest(letters, F.lit(1)) > 0.4), "shouting", 0.3),
+            (F.try_divide(m["inked"], words) > 9, "mean-word-length", 0.3),
+            (m["urls"] > F.greatest(words / 100, F.lit(3)), "link-farm", 0.3),
         )
-    )
+        loss = sum((F.when(cond, F.lit(w)).otherwise(0.0) for cond, _, w in soft), F.lit(0.0))
+        score = F.round(F.lit(1.0) - loss, 6)
+        return F.when(
+            hard.isNotNull(), F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("passed"), F.array(hard).alias("reasons"))
+        ).otherwise(
+            F.struct(
+                F.greatest(score, F.lit(0.0)).alias("score"),
+                (score >= min_score).alias("passed"),
+                _reasons(*[(cond, name) for cond, name, _ in soft]).alias("reasons"),
+            )
+        )
+
+    return bind(measures, judge)
 
 
 def quality_b(c: Column) -> Column:
     """Struct (score, verdict, reasons): all hard reasons are named; each soft one costs 0.15."""
-    word = r"[\p{L}\p{N}_]+"
-    words, chars = count(c, word), F.length(c)
     lines = F.filter(F.transform(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), strip), lambda x: x != "")
-    letters, upper = count(c, r"\p{L}"), count(c, r"\p{Lu}")
-    hard = _reasons(
-        (chars < 200, "too-short"),
-        (words < 25, "too-few-words"),
-        (F.when(chars > 0, symbol_ratio(c)).otherwise(1.0) > 0.15, "symbol-ratio"),
-        (repeats(lines)["most"] >= 3, "repeated-lines"),
-    )
-    soft = _reasons(
-        ((letters > 0) & (upper / F.greatest(letters, F.lit(1)) > 0.5), "shouting-caps"),
-        (F.length(F.regexp_replace(c, r"[^\p{L}\p{N}_]", "")) / words > 9, "mean-word-length"),
-        (c.rlike(r"(?i)lorem\s+ipsum"), "lorem-ipsum"),
-        (count(c, r"https?://\S+") > 4, "link-farm"),
-    )
-    score = F.round(F.greatest(F.lit(0.0), 1.0 - 0.15 * F.size(soft)), 2)
-    return F.when(
-        F.size(hard) > 0, F.struct(F.lit(0.0).alias("score"), F.lit("FAIL").alias("verdict"), hard.alias("reasons"))
-    ).otherwise(
-        F.struct(score.alias("score"), F.when(score >= 0.85, "PASS").otherwise("WARN").alias("verdict"), soft.alias("reasons"))
+    measures = F.struct(
+        count(c, r"[\p{L}\p{N}_]+").alias("words"),
+        F.length(c).alias("chars"),
+        symbol_ratio(c).alias("symbols"),
+        repeats(lines).alias("rep"),
+        count(c, r"\p{L}").alias("letters"),
+        count(c, r"\p{Lu}").alias("upper"),
+        count(c, r"https?://\S+").alias("urls"),
+        F.length(F.regexp_replace(c, r"[^\p{L}\p{N}_]+", "")).alias("wordy"),
+        c.rlike(r"(?i)lorem\s+ipsum").alias("lorem"),
     )
 
+    def judge(m: Column) -> Column:
+        hard = _reasons(
+            (m["chars"] < 200, "too-short"),
+            (m["words"] < 25, "too-few-words"),
+            (F.when(m["chars"] > 0, m["symbols"]).otherwise(1.0) > 0.15, "symbol-ratio"),
+            (m["rep"]["most"] >= 3, "repeated-lines"),
+        )
+        soft = _reasons(
+            ((m["letters"] > 0) & (m["upper"] / F.greatest(m["letters"], F.lit(1)) > 0.5), "shouting-caps"),
+            (F.try_divide(m["wordy"], m["words"]) > 9, "mean-word-length"),
+            (m["lorem"], "lorem-ipsum"),
+            (m["urls"] > 4, "link-farm"),
+        )
+        score = F.round(F.greatest(F.lit(0.0), 1.0 - 0.15 * F.size(soft)), 2)
+        return F.when(
+            F.size(hard) > 0, F.struct(F.lit(0.0).alias("score"), F.lit("FAIL").alias("verdict"), hard.alias("reasons"))
+        ).otherwise(
+            F.struct(score.alias("score"), F.when(score >= 0.85, "PASS").otherwise("WARN").alias("verdict"), soft.alias("reasons"))
+        )
+
+    return bind(measures, judge)
+
 
 def stem(t: Column) -> Column:
     """Light suffix stripper for one lower-case token; the first rule that applies wins."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scrub as S
 from millrace.functions import text as X
 from millrace.operators import minhash
+from millrace.tables import spread
 
 STAGES = ("normalize", "language", "quality", "exact-dedup", "near-dedup")
 
@@ -23,7 +24,7 @@ def gated(docs: DataFrame, min_language: float = 0.45, min_quality: float = 0.6,
     Null and empty texts drop at ``normalize``. Later stages see the normalised,
     scrubbed text. Other columns are left out, so none can clash.
     """
-    clean = docs.select("doc_id", "text").withColumn("clean", X.normalize(F.col("text"), compose))
+    clean = spread(docs.select("doc_id", "text")).withColumn("clean", X.normalize(F.col("text"), compose))
     if scrubbed:
         clean = clean.withColumn("s", S.scrub(F.col("clean"))).withColumn("clean", F.col("s.text")).withColumn("pii", F.col("s.counts")).drop("s")
     c = F.col("clean")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.graph import components
+from millrace.tables import spread
 
 PERMUTATIONS, BANDS, SEED, SHINGLE = 64, 16, 1337, 5
 PRIME = (1 << 61) - 1
@@ -86,7 +87,7 @@ def signatures(docs: DataFrame, family: str = "a", text: str = "text", key: str
                 [batch.column(0).take(pa.array(keep, pa.int32())), pa.array(out, pa.list_(pa.int64()))], names=["key", "signature"]
             )
 
-    return docs.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {kind}, signature array<long>")
+    return spread(docs.select(F.col(key).alias("key"), text)).mapInArrow(run, f"key {kind}, signature array<long>")
 
 
 def estimate(a, b):

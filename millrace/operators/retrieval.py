@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.tables import spread
 
 K1, B = 1.5, 0.75
 CANDIDATES, RRF_K, TOP_K, PER_DOC = 20, 60, 6, 2
@@ -32,7 +33,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     Null texts are left out. Terms are counted per document before anything is
     shuffled by term.
     """
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), X.tokens(F.col(text)).alias("toks"))
+    rows = spread(docs.where(F.col(text).isNotNull())).select(F.col(key).alias("doc"), X.tokens(F.col(text)).alias("toks"))
     totals = rows.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
     terms = rows.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
     tf = terms.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))

@@ -30,3 +30,15 @@ def once_per_id(df: DataFrame, *keys: str) -> DataFrame:
 def month(ts):
     """Calendar month of a timestamp as ``yyyy-MM`` (session time zone)."""
     return F.date_format(ts, "yyyy-MM")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, before work that is heavy per row.
+
+    Only a plain scan that gives fewer partitions is dealt out, so a large table
+    is never shuffled for it. Results don't depend on it.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
