@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.tables import bounded
+from millrace.tables import bounded, spread
 
 #: Items and characters of items at most; their index is shipped to every task (about 20 bytes a character).
 MAX_ITEMS, MAX_ITEM_CHARS = 100_000, 5_000_000
@@ -238,4 +238,4 @@ def find_leaks(
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=LEAKS.names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, LEAKS).dropDuplicates(["doc_id", "item_id"])
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, LEAKS).dropDuplicates(["doc_id", "item_id"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.tables import bounded
+from millrace.tables import bounded, spread
 
 #: Documents of one block of the flight phase on average.
 DOCS_PER_BLOCK = 50_000
@@ -150,7 +150,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, vo
     spark = documents.sparkSession
     few = spark.createDataFrame([(w[0],) for w in wanted], "source string")
     sized = (
-        with_tokens(documents.select("doc_id", "source", "text").join(F.broadcast(few), "source", "left_semi"), vocabulary=vocabulary)
+        with_tokens(spread(documents.select("doc_id", "source", "text")).join(F.broadcast(few), "source", "left_semi"), vocabulary=vocabulary)
         .select("doc_id", "source", "n_tokens")
         .where("n_tokens > 0")
         .persist()

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.tables import spread
+
 #: Slots of the table of pairs and of single characters: 2 x 4 MB and 0.5 MB, whatever the corpus.
 PAIR_SLOTS, CHAR_SLOTS = 1 << 20, 1 << 16
 #: A pair is improbable if it carries less than this many times the mean share of the mutual information.
@@ -408,4 +410,4 @@ def find_garbled(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=RESTORED.names)
 
     maybe = documents.select("doc_id", "text").where(F.col("text").rlike("[^\\x00-\\x7f]|&#?[A-Za-z0-9]+;&"))
-    return maybe.mapInArrow(run, RESTORED).dropDuplicates(["doc_id"])
+    return spread(maybe).mapInArrow(run, RESTORED).dropDuplicates(["doc_id"])

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from millrace.operators.graph import components
 from millrace.session import checkpointed
+from millrace.tables import spread
 
 SHINGLE = 5
 THRESHOLD = 0.7
@@ -203,7 +204,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=_SIGNED.names)
 
-    return docs.select("id", "text").where("id is not null").mapInArrow(run, _SIGNED).dropDuplicates(["id"])
+    return spread(docs.select("id", "text").where("id is not null")).mapInArrow(run, _SIGNED).dropDuplicates(["id"])
 
 
 def _compare(t: float):

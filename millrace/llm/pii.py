@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.tables import bounded
+from millrace.tables import bounded, spread
 
 #: Person names at most; their pattern is shipped to every task.
 MAX_NAMES = 20_000
@@ -313,7 +313,7 @@ def find_items(docs: DataFrame, names: DataFrame) -> DataFrame:
             types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=ITEMS.names)
 
-    return docs.select("id", "text").mapInArrow(run, ITEMS).dropDuplicates(["id", "kind", "start_pos"])
+    return spread(docs.select("id", "text")).mapInArrow(run, ITEMS).dropDuplicates(["id", "kind", "start_pos"])
 
 
 def mask_docs(docs: DataFrame, names: DataFrame, key: bytes) -> DataFrame:

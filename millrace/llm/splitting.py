@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.tables import spread
+
 #: Words are maximal runs of characters other than these four.
 WORD = re.compile(r"[^ \t\n\r]+")
 WORD_JVM = "[^ \\t\\n\\r]+"
@@ -173,7 +175,7 @@ def split_oversized(chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
     picks the chunks runs in the JVM, so short ones never reach Python.
     """
     long = (
-        chunks.select("id", "doc", "heading", "text")
+        spread(chunks.select("id", "doc", "heading", "text"))
         .where(F.regexp_count("text", F.lit(WORD_JVM)) > limit)
         .dropDuplicates(["id"])
     )
