@@ -180,8 +180,9 @@ def _utf8(text: str, codec: str) -> str | None:
         return None
 
 
-def _printable(text: str) -> bool:
-    return all(c.isprintable() or c in "\n\t\r ­​‎‏   ﻿" for c in text)
+def _printable(text: str, controls: bool = False) -> bool:
+    """Whether a text can be shown; with ``controls`` the upper control characters pass: bytes that a charset leaves out."""
+    return all(c.isprintable() or controls and "\x80" <= c <= "\x9f" or c in "\n\t\r ­​‎‏   ﻿" for c in text)
 
 
 _WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uff00-\uffef\ue000-\uf8ff]")
@@ -203,7 +204,7 @@ def _as_utf8(part: str, stats: Pairs, codecs: tuple[str, ...], before: str = "",
         for m in _sequences(codec).finditer(part):
             old = m.group()
             new = _utf8(old, codec)
-            if new is None or not _printable(new):
+            if new is None or not _printable(new, controls=True):
                 continue
             letters = old.isalpha()
             if len(old) < 3 or letters:
