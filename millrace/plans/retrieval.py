@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.operators import learning as L
 from millrace.operators import nearest as N
 from millrace.operators import retrieval as Q
 from millrace.plans.registry import Registry
@@ -133,6 +134,14 @@ for _m in _DIST:
     R.query(f"knn_{_m}", _knn_sql(_m) + " SELECT query, id, distance, rank FROM r WHERE rank <= 10")(_knn(_m))
 
 
+@R.query("knn_lists_recall")
+def knn_lists_recall(spark, where):
+    """Recall of approximate neighbours by inverted lists against the exact ones."""
+    p = _points(spark, where)
+    q = p.where("id % 20 = 0")
+    return N.recall(L.inverted_lists(p, q, 10, 32, 22), N.exact(p, q, 10))
+
+
 @R.query(
     "knn_label_purity",
     _knn_sql("cosine") + """ SELECT q.label, count(*) AS n, round(avg(CAST(q.label = x.label AS INT)), 6) AS purity

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import requests as Q
 from millrace.functions import text as X
 from millrace.operators import budgetpack as B
 from millrace.operators import safety as S
@@ -287,3 +288,32 @@ def prompt_suite(spark, where):
         F.array(a("contains", F.col("answer")), a("max_length", F.lit("26")), a("not_contains", F.lit("7"))).alias("assertions"),
     )
     return O.suite(cases)
+
+
+# -- Costs, fingerprints, gates
+
+
+@R.query(
+    "token_costs",
+    """SELECT coalesce(source, '-') AS source, CAST(sum(floor(len(coalesce(text, '')) / 4)) AS BIGINT) AS tokens,
+    round(sum(floor(len(coalesce(text, '')) / 4)) / 1000 * 0.002 + count(*) * 100 / 1000 * 0.006, 6) AS usd FROM documents GROUP BY 1""",
+)
+def token_costs(spark, where):
+    d = load(spark, where, "documents").withColumn("t", Q.token_estimate(F.col("text")))
+    g = d.groupBy(F.coalesce("source", F.lit("-")).alias("source")).agg(F.sum("t").alias("tokens"), F.count("*").alias("n"))
+    return g.select("source", "tokens", F.round(Q.cost_usd(F.col("tokens"), F.col("n") * 100), 6).alias("usd"))
+
+
+@R.query("doc_fingerprints", "SELECT doc_id, sha256(text)[:16] AS fp FROM documents WHERE text IS NOT NULL")
+def doc_fingerprints(spark, where):
+    return _docs(spark, where).select("doc_id", Q.fingerprint(F.col("text")).alias("fp"))
+
+
+@R.query(
+    "story_gate",
+    r"""SELECT doc_id, len(regexp_extract_all(text, '[^\s\x0b\x{85}\pZ\x1c-\x1f]+')) BETWEEN 80 AND 400
+      AND NOT regexp_matches(regexp_replace(text, '^[\s\x0b\x{85}\pZ\x1c-\x1f]+', ''), '(?i)^(#|\d+\.|here(''|’)s|sure|certainly)') AS kept
+    FROM documents WHERE text IS NOT NULL""",
+)
+def story_gate(spark, where):
+    return _docs(spark, where).select("doc_id", Q.story_gate(F.col("text")).alias("kept"))
