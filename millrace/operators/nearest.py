@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from millrace.functions import vectors as V
 from millrace.tables import bounded
 
-#: Query vectors at most for the blocked scan; they are shipped to every task (64 numbers: 128 MB).
-MAX_QUERIES = 500_000
+#: Query vectors at most for the blocked scan; they are shipped to every task (25 MB for 64 numbers each).
+MAX_QUERIES = 50_000
 #: Model tiers of the routing queries, cheapest first.
 PREMIUM = "premium"
 
@@ -90,7 +90,7 @@ def route(near: DataFrame, outcomes: DataFrame, tiers: DataFrame, floor: float =
     rates = (
         near.where(F.col("rank") <= k).join(outcomes, "id").groupBy("query", "model").agg(F.avg(F.col("passed").cast("double")).alias("pass_rate"))
     )
-    priced = rates.join(F.broadcast(tiers), "model")
+    priced = rates.join(tiers, "model")
     ok = F.col("pass_rate") >= floor
     pick = F.min(F.when(ok, F.struct("cost", "ord", "model", "pass_rate")))
     best = priced.groupBy("query").agg(pick.alias("best"))

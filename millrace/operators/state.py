@@ -273,7 +273,7 @@ def usage(events: DataFrame, key: str, ts: str = "ts") -> DataFrame:
 def quota(used: DataFrame, plans: DataFrame, default: int = 100) -> DataFrame:
     """used, quota and what remains (never below 0); plans: (plan, quota), an unknown plan has the default."""
     q = F.coalesce("quota", F.lit(default))
-    return used.join(F.broadcast(plans), "plan", "left").withColumn("quota", q).withColumn("remaining", F.greatest(F.col("quota") - F.col("used"), F.lit(0)))
+    return used.join(plans, "plan", "left").withColumn("quota", q).withColumn("remaining", F.greatest(F.col("quota") - F.col("used"), F.lit(0)))
 
 
 def quantiles(df: DataFrame, group: str, value: str, ps: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
