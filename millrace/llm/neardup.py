@@ -38,6 +38,8 @@ THRESHOLD = 0.7
 BANDS, ROWS = 24, 3
 #: Rows of one tile; buckets above HOT rows are cut into parts of about that many.
 TILE, HOT = 512, 4096
+#: Hot buckets at most whose list is sent to every task (16 bytes each).
+MAX_SENT = 100_000
 LEAST_BITS = 128
 
 _WORD = re.compile("[a-z0-9]+")
@@ -272,11 +274,20 @@ def _pairs(a: list, b: list) -> pa.RecordBatch:
 
 
 def candidates(reps: DataFrame, t: float) -> DataFrame:
-    """Distinct pairs (a, b) of representatives whose sketches are within the radius."""
+    """Distinct pairs (a, b) of representatives whose sketches are within the radius.
+
+    Sketches are shuffled once, to their cells. Buckets above HOT rows are
+    counted first; their list is sent to the tasks if it is short, and joined
+    otherwise.
+    """
+    spark = reps.sparkSession
     rows = reps.select("rep", "n", "sketch", F.explode("bands").alias("band"))
     hot = rows.groupBy("band").agg(F.count("*").alias("crowd")).where(f"crowd > {HOT}")
+    few = hot.limit(MAX_SENT + 1).collect()
+    if len(few) <= MAX_SENT:
+        hot = F.broadcast(spark.createDataFrame([(r.band, r.crowd) for r in few], "band long, crowd long"))
     split = (
-        rows.join(hot, "band", "left")
+        (rows.join(hot, "band", "left") if few else rows.withColumn("crowd", F.lit(1)))
         .withColumn("parts", F.coalesce(F.ceil(F.col("crowd") / HOT), F.lit(1)).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -336,7 +347,9 @@ def links(docs: DataFrame, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     first = sig.groupBy(*keys).agg(F.min("id").alias("rep"))
     members = sig.select("id", *keys).join(first, keys).select("id", "rep")
     reps = sig.join(first.select(F.col("rep").alias("id")), "id", "left_semi").withColumnRenamed("id", "rep")
-    return members, verified(candidates(reps, t), docs, t)
+    # Read three times: for the ids, and for either side's sets.
+    cand = candidates(reps, t).persist(StorageLevel.MEMORY_AND_DISK)
+    return members, verified(cand, docs, t)
 
 
 def similar_pairs(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
@@ -348,7 +361,10 @@ def similar_pairs(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     members, pairs = links(docs, t)
     left, right = (members.select(F.col("id").alias(f"id_{x}"), F.col("rep").alias(x)) for x in "ab")
     apart = pairs.join(left, "a").join(right, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    within = left.withColumnRenamed("a", "rep").join(right.withColumnRenamed("b", "rep"), "rep").where("id_a < id_b").select("id_a", "id_b")
+    several = members.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1").select("rep")
+    within = (
+        left.withColumnRenamed("a", "rep").join(several, "rep").join(right.withColumnRenamed("b", "rep"), "rep").where("id_a < id_b").select("id_a", "id_b")
+    )
     return apart.unionByName(within)
 
 
