@@ -131,7 +131,7 @@ def evaluate(found: DataFrame, golden: DataFrame) -> DataFrame:
 
 
 def summary(evaluated: DataFrame, gate: float = 0.8) -> DataFrame:
-    """Means by type and over all (type ``*``), with the gate on recall, in one grouping-sets pass."""
+    """Means by type and over all (type ``*``), with the gate on recall, in one grouping-sets pass. No questions give no row."""
     return (
         evaluated.withColumn("type", F.coalesce("type", F.lit("unknown")))
         .rollup("type")
