@@ -4,8 +4,9 @@ Texts are reduced to their words (lower-case runs of a-z and 0-9) joined by one
 blank. A passage of ``w`` characters that differs from its copy by at most ``e``
 edits shares at least ``w - q + 1 - q * e`` q-grams with it, and all of these
 lie within ``e`` diagonals of each other (q-gram lemma). So for each document the
-q-grams it shares with an item are counted in overlapping bands of diagonals;
-regions that reach the bound are kept and verified by a banded alignment.
+q-grams it shares with an item are counted in overlapping bands of diagonals, for
+every passage of ``min_words`` words of the item; each passage that reaches its
+own bound is verified by an alignment of its own.
 
 The held-out items are few and their number is checked: they form an index that
 every task gets. Documents stay where they are, nothing is shuffled.
@@ -75,7 +76,11 @@ class Index:
             [min(sum(map(len, w[k : k + min_words])) for k in range(len(w) - min_words + 1)) + min_words - 1 for w in self.words],
             np.int64,
         )
-        self.shortest = dict(zip(self.ids, self.least.tolist()))
+        #: First and last character (exclusive) of every passage of ``min_words`` words.
+        self.passages = []
+        for w in self.words:
+            n = np.cumsum([0] + [len(x) + 1 for x in w])
+            self.passages.append((n[: len(w) - min_words + 1], n[min_words:] - 1))
         #: Shared q-grams that a region must reach, by the lemma; at least one.
         self.need = np.maximum(1, self.least - q + 1 - q * edits)
         if edits and len(self.least) and (self.least - q + 1 - q * edits).min() < 1:
@@ -100,24 +105,31 @@ class Index:
     def _slot(code: np.ndarray) -> np.ndarray:
         return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
 
-    def regions(self, text: str) -> list[tuple[int, int, int, int]]:
-        """Regions of a normalised text that meet the bound: (item, diagonal, first, last q-gram in the text)."""
+    def matches(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """The q-grams a normalised text shares with items: (item, diagonal, place in the text), or None if too few."""
         if len(text) < self.q or not len(self.code):
-            return []
+            return None
         code = _grams(np.frombuffer(text.encode("ascii"), np.uint8), self.q)
         maybe = np.flatnonzero(self.seen[self._slot(code)])
         if len(maybe) < self.need.min():
-            return []
+            return None
         k = np.searchsorted(self.code, code[maybe])
         k[k == len(self.code)] = 0
         good = self.code[k] == code[maybe]
         pos, k = maybe[good], k[good]
         if len(pos) < self.need.min():
-            return []
+            return None
         n = self.first[k + 1] - self.first[k]
         of = np.repeat(np.arange(len(pos)), n)
         entry = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, diagonal, pos = self.item[entry], pos[of] - self.at[entry], pos[of]
+        return self.item[entry], pos[of] - self.at[entry], pos[of]
+
+    def regions(self, text: str) -> list[tuple[int, int, int, int]]:
+        """Regions of a normalised text that meet the bound: (item, diagonal, first, last q-gram in the text)."""
+        got = self.matches(text)
+        if got is None:
+            return []
+        item, diagonal, pos = got
         # Bands of 2 (e + 1) diagonals that overlap by half: any e + 1 neighbours lie in one.
         width = self.edits + 1
         out = []
@@ -207,14 +219,126 @@ def leaks_of(text: str | None, index: Index) -> list[tuple[int, int, int, int, i
     return [(index.ids[i], *v) for i, v in sorted(found.items())]
 
 
+def passage_edits(a: str, text: str) -> int:
+    """Edits between ``a`` and the stretch of ``text`` that is most similar to it (bit-parallel; begin and end are free)."""
+    if a in text:
+        return 0
+    m = len(a)
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    mask, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score, best = mask, 0, m, m
+    for c in text:
+        eq = places.get(c, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = down | mask & ~(h | up), up & h
+        if more & top:
+            score += 1
+        elif less & top:
+            score -= 1
+            best = min(best, score)
+        more, less = more << 1 & mask, less << 1 & mask
+        up, down = less | mask & ~(v | more), more & v
+    return best
+
+
+def whole_words(flat: str, other: str, first: int, end: int, diagonal: int) -> tuple[int, int, int]:
+    """Of an equal stretch that can't be extended, the words that are whole in both texts: (words, begin, end)."""
+    if first and flat[first - 1] != " " or first - diagonal and other[first - diagonal - 1] != " ":
+        first = flat.find(" ", first, end) + 1
+        if not first:
+            return 0, 0, 0
+    if end < len(flat) and flat[end] != " " or end - diagonal < len(other) and other[end - diagonal] != " ":
+        end = flat.rfind(" ", first, end)
+    return (flat.count(" ", first, end) + 1, first, end) if end > first else (0, 0, 0)
+
+
+def stretches(item: np.ndarray, diagonal: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring q-grams on one diagonal of one item: (item, diagonal, first, number)."""
+    order = np.lexsort((pos, diagonal, item))
+    i, d, p = item[order], diagonal[order], pos[order]
+    new = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (np.diff(p) != 1)])
+    return i[new], d[new], p[new], np.diff(np.r_[new, len(p)])
+
+
+def near_leaks_of(text: str | None, index: Index) -> list[tuple[int, int, int, int, int]]:
+    """Passages of items within the edit budget in one document, the best of each item.
+
+    (item, longest run of whole equal words, its first word or that of the
+    passage, edits, characters of the passage). Neighbouring passages that are
+    within the budget together are one. Fewest edits come first, then the longest.
+    """
+    w = words(text)
+    if len(w) < index.min_words:
+        return []
+    flat = " ".join(w)
+    got = index.matches(flat)
+    if got is None:
+        return []
+    item, diagonal, pos = got
+    most, q, width = index.edits, index.q, index.edits + 1
+    found: dict[int, tuple[int, int, int]] = {}
+    # Bands of 2 (e + 1) diagonals that overlap by half: any e + 1 neighbours lie in one.
+    for shift in (0, width):
+        band = (diagonal + shift) // (2 * width)
+        order = np.lexsort((band, item))
+        i, b, d, at = item[order], band[order], diagonal[order], (pos - diagonal)[order]
+        new = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
+        end = np.r_[new[1:], len(i)]
+        full = end - new >= index.need[i[new]]
+        for a, z in zip(new[full].tolist(), end[full].tolist()):
+            it = int(i[a])
+            begin, stop = index.passages[it]
+            shared = np.unique(at[a:z])
+            lost = stop - begin - q + 1 - (np.searchsorted(shared, stop - q + 1) - np.searchsorted(shared, begin))
+            fit = np.flatnonzero(lost <= q * most)
+            if not len(fit):
+                continue
+            low, high = int(d[a:z].min()) - most, int(d[a:z].max()) + most
+
+            def edits(first: int, last: int) -> int:
+                s, e = int(begin[first]), int(stop[last])
+                return passage_edits(index.texts[it][s:e], flat[max(0, s + low) : max(0, e + high)])
+
+            cut = np.flatnonzero(np.diff(fit) > 1)
+            for x, y in zip(fit[np.r_[0, cut + 1]].tolist(), fit[np.r_[cut, len(fit) - 1]].tolist()):
+                tried = [(edits(x, y), x, y)]
+                if tried[0][0] > most and y > x:
+                    least = most + 1
+                    for k in (x + np.argsort(lost[x : y + 1], kind="stable")).tolist():
+                        if -(-int(lost[k]) // q) >= least:  # no fewer edits can destroy so many q-grams
+                            break
+                        tried.append((edits(k, k), k, k))
+                        least = min(least, tried[-1][0])
+                for n, f, g in tried:
+                    new_one = (n, int(begin[f] - stop[g]), max(0, int(begin[f]) + low + most))
+                    if n <= most and (it not in found or new_one < found[it]):
+                        found[it] = new_one
+    out = []
+    for it, (n, chars, place) in sorted(found.items()):
+        mine = item == it
+        run, first = 0, place
+        _, ds, ps, ns = stretches(item[mine], diagonal[mine], pos[mine])
+        for k in np.argsort(-ns, kind="stable").tolist():
+            if (ns[k] + q) // 2 <= run:
+                break
+            words_, s, _ = whole_words(flat, index.texts[it], int(ps[k]), int(ps[k] + ns[k]) + q - 1, int(ds[k]))
+            if words_ > run:
+                run, first = words_, s
+        out.append((index.ids[it], run, flat.count(" ", 0, first), n, -chars))
+    return out
+
+
 def find_leaks(
     documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, edits: int = 0, q: int = Q, exact: bool = True
 ) -> DataFrame:
     """One row per document and item that leaked into it.
 
     With ``exact`` a pair counts if at least ``min_words`` consecutive words are
-    in common; else if a region passes the lemma and its alignment stays within
-    ``edits``. Needs doc_id and text of ``documents``, item_id and text of
+    in common; else if a passage of ``min_words`` words of the item is within
+    ``edits`` edits of some stretch of the document. Needs doc_id and text of ``documents``, item_id and text of
     ``items``; other columns are ignored. Null and empty texts, and those with
     fewer than ``min_words`` words, are in no pair. Rows repeated under one id
     count once. Whole texts are searched.
@@ -231,8 +355,8 @@ def find_leaks(
         for batch in batches:
             rows = []
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for leak in leaks_of(text, index):
-                    if leak[1] >= min_words if exact else leak[3] <= edits and leak[4] >= index.shortest[leak[0]] - edits:
+                for leak in leaks_of(text, index) if exact else near_leaks_of(text, index):
+                    if not exact or leak[1] >= min_words:
                         rows.append((i, *leak))
             cols = list(zip(*rows)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())

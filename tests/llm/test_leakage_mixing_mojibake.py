@@ -42,6 +42,55 @@ def test_near_leaks(spark):
     assert [(r.doc_id, r.edits) for r in L.find_leaks(df, it, edits=2, exact=False).collect()] == [(1, 1)]
 
 
+def test_every_passage_is_verified_on_its_own(spark):
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(500)]
+    pick = lambda n: [rng.choice(vocab) for _ in range(n)]
+    typo = lambda w: w[:1] + "z" + w[2:]
+    held = pick(100)
+    scattered = [typo(w) if k in (7, 22, 37, 52, 67) else w for k, w in enumerate(held)]
+    dense = [typo(w) if k % 3 == 0 else w for k, w in enumerate(held)]
+    exact_later = pick(5) + dense[:50] + pick(30) + held[60:72] + pick(9)
+    first_letter = ["z" + held[20][1:], *held[21:31], held[31][:-1]]
+    texts = [scattered, dense, exact_later, pick(3) + first_letter + pick(3), held[:11] + pick(9), pick(40)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    it = spark.createDataFrame([(7, " ".join(held))], "item_id long, text string")
+    near = {r.doc_id: r for r in L.find_leaks(df, it, edits=2, exact=False).collect()}
+    exact = {r.doc_id for r in L.find_leaks(df, it).collect()}
+    assert exact == {0, 2} and exact <= set(near)
+    assert {k for k in (0, 1, 2, 3, 5) if k in near} == {0, 2, 3} and near[0].edits == 0 and near[3].edits == 2
+
+
+def test_near_leaks_against_plain_alignment():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    item = [rng.choice(vocab) for _ in range(30)]
+    index = L.Index([(7, " ".join(item))], 12, 2)
+    hits = 0
+    for _ in range(120):
+        k = rng.randrange(18)
+        flat = " ".join(item[k : k + rng.randint(10, 16)])
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(flat))
+            flat = flat[:at] + rng.choice(["", "x", "xx"]) + flat[at + rng.randint(0, 1) :]
+        flat = " ".join(L.words("so it goes " + flat + " and ends here"))
+        want = min(plain(" ".join(item[j : j + 12]), flat) for j in range(19))
+        got = L.near_leaks_of(flat, index)
+        assert bool(got) == (want <= 2), flat
+        assert not got or want <= got[0][3] <= 2
+        hits += bool(got)
+    assert 20 < hits < 110
+
+
 def test_banded_edits():
     assert L.banded_edits("kitten", "sitting", 3) == 3 and L.banded_edits("kitten", "sitting", 2) == 3 and L.banded_edits("", "ab", 2) == 2
 
