@@ -8,9 +8,11 @@ priority queue. In a cell, one task builds a forest on all members, searches it
 for all queries through a shared priority queue over the trees (nearest plane
 first), and reranks the candidates of the leaves reached by exact cosine.
 
-The sample places the planes of the top trees only: every row is indexed. A
-cell that planes can't cut, because most of it is one and the same vector, is
-dealt out by a hash of the id, so no task grows with it.
+The sample places the planes of the top trees only: every row is indexed. Of a
+vector that would crowd a cell alone only the least ids are indexed, which no
+result can tell; the other copies share one exact search. A cell that is crowded
+nevertheless (proportional vectors, say) is cut into parts by a hash of the id,
+and every part is searched for every part, so no task grows with it.
 """
 
 from __future__ import annotations
@@ -240,16 +242,80 @@ class Top:
             share = np.bincount(own, minlength=self.cells) / max(1, len(unit))
             self.parts[i * self.cells : (i + 1) * self.cells] = np.maximum(1, np.round(share * count / (2 * CELL)))
             tree.members = None  # not shipped
-        self.next = base + int(self.parts.sum())
-        self.starts = base + np.cumsum(np.r_[0, self.parts])[:-1]
+        self.next = base + int((self.parts**2).sum())
+        self.starts = base + np.cumsum(np.r_[0, self.parts**2])[:-1]
 
-    def route(self, ids: np.ndarray, x: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, task, member): where each row goes, and whether it is indexed there or only asks."""
+    def route(self, ids: np.ndarray, x: np.ndarray, extra: int, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, task, role): where each row goes, and whether it is indexed there (1), asks there (2) or both (3).
+
+        The tasks of a cell in parts are a square: its rows are the parts as members, its columns the parts as queries.
+        """
         reach = search(self.trees, _unit(x), extra if self.cells > 1 else 0)
         row, col = np.nonzero(reach >= 0)
         cell = reach[row, col]
-        part = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % self.parts[cell]
-        return row, self.starts[cell] + part, col < len(self.trees)
+        n, member, asks = self.parts[cell], col < len(self.trees), asks[row]
+        part = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
+        of = np.repeat(np.arange(len(row)), n)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        row, part, n, first, member, asks = row[of], part[of], n[of], self.starts[cell][of], member[of], asks[of]
+        own = k == part
+        down = asks & ~(own & member)
+        return (
+            np.r_[row[member], row[down]],
+            np.r_[(first + part * n + k)[member], (first + k * n + part)[down]],
+            np.r_[(1 + 2 * (own & asks))[member], np.full(int(down.sum()), 2)],
+        )
+
+
+def _bytes(x: np.ndarray) -> np.ndarray:
+    """Rows of a matrix as values that can be compared and sorted; both zeros are one."""
+    return np.ascontiguousarray(x + np.float32(0)).view(f"V{x.shape[1] * x.dtype.itemsize}")[:, 0]
+
+
+class Hot:
+    """Vectors with so many copies that they would crowd a cell, by kind and length, and which copies are indexed."""
+
+    def __init__(self):
+        self.numbers: dict = {}
+        self.vectors: list[np.ndarray] = []
+        self.keys: list[tuple] = []
+        self.least: list[np.ndarray] = []
+        self.answers: list[list[tuple[int, float]]] = []
+
+    def add(self, key: tuple, sample: np.ndarray, count: int) -> np.ndarray:
+        """Take up what is hot in a sample; the sample without the other copies of it."""
+        _, first, of, n = np.unique(_bytes(sample), return_index=True, return_inverse=True, return_counts=True)
+        hot = (n > 1) & (n * count > len(sample) * CELL / 4)
+        for i in first[hot]:
+            self.numbers.setdefault(key, {})[_bytes(sample[i : i + 1])[0].tobytes()] = len(self.vectors)
+            self.vectors.append(sample[i])
+            self.keys.append(key)
+        keep = ~hot[of]
+        keep[first] = True
+        return sample[keep]
+
+    def of(self, key: tuple, x: np.ndarray) -> np.ndarray:
+        """The number of each row's vector, -1 if it is not hot."""
+        mine = self.numbers.get(key)
+        return np.array([mine.get(v.tobytes(), -1) for v in _bytes(x)], np.int64) if mine else np.full(len(x), -1)
+
+    def others(self, key: tuple, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The number of each row's vector if it is a copy that is not indexed, else -1."""
+        number = self.of(key, x)
+        for h in np.unique(number[number >= 0]):
+            number[(number == h) & np.isin(ids, self.least[h])] = -1
+        return number
+
+
+def _by_kind(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray]]:
+    """((kind, length), ids, vectors, who asks) of a batch."""
+    groups: dict = {}
+    for i, key in enumerate(zip(batch.column("kind").to_pylist(), batch.column("dim").to_pylist())):
+        groups.setdefault(key, []).append(i)
+    for key, at in groups.items():
+        part = batch.take(pa.array(at, pa.int32()))
+        asks = part.column("asks").to_numpy(zero_copy_only=False)
+        yield key, part.column("id").to_numpy(), _matrix(part.column("vec"), key[1]), np.array([bool(a) for a in asks]) if asks.dtype == object else asks
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -261,6 +327,55 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
 
 
+def _settle(good: DataFrame, hot: Hot, k: int, least: float) -> None:
+    """Choose the copies of hot vectors that are indexed, and find what the others are nearest to.
+
+    Ties go to the lower id, so no result has another copy than the ``k + 1``
+    least ids (a query is not its own neighbour). Those not among them all have
+    the same neighbours, found by exact comparison with every row.
+    """
+    spark = good.sparkSession
+    first = spark.sparkContext.broadcast(hot)
+
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, ids, x, _ in _by_kind(batch):
+                number = first.value.of(key, x)
+                for h in np.unique(number[number >= 0]):
+                    mine = np.unique(ids[number == h])[: k + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), h)), pa.array(mine)], names=["hot", "id"])
+
+    low = Window.partitionBy("hot").orderBy("id")
+    ids = good.mapInArrow(ids_of, "hot long, id long").distinct().withColumn("at", F.row_number().over(low)).where(F.col("at") <= k + 1)
+    hot.least = [np.zeros(0, np.int64) for _ in hot.vectors]
+    for r in ids.groupBy("hot").agg(F.collect_list("id").alias("ids")).collect():
+        hot.least[r.hot] = np.array(sorted(r.ids), np.int64)
+    second = spark.sparkContext.broadcast(hot)
+
+    def nearest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = second.value
+        for batch in batches:
+            for key, ids, x, _ in _by_kind(batch):
+                if key not in hot.numbers:
+                    continue
+                rest = hot.others(key, ids, x) < 0
+                ids, at = np.unique(ids[rest], return_index=True)
+                x64 = x[rest][at].astype(np.float64)
+                norm = np.sqrt((x64 * x64).sum(axis=1))
+                for h in hot.numbers[key].values():
+                    v = hot.vectors[h].astype(np.float64)
+                    cos = np.einsum("ij,j->i", x64, v) / (norm * np.sqrt((v * v).sum()))
+                    best = np.lexsort((ids, -cos))[:k]
+                    best = best[cos[best] >= least]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), h)), pa.array(ids[best]), pa.array(cos[best])], names=["hot", "id", "cosine"])
+
+    order = Window.partitionBy("hot").orderBy(F.desc("cosine"), "id")
+    found = good.mapInArrow(nearest_of, "hot long, id long, cosine double").dropDuplicates(["hot", "id"])
+    hot.answers = [[] for _ in hot.vectors]
+    for r in found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).orderBy("hot", "at").collect():
+        hot.answers[r.hot].append((r.id, r.cosine))
+
+
 def nearest(
     vectors: DataFrame,
     k: int,
@@ -285,6 +400,7 @@ def nearest(
         F.col("chunk_id").cast("long").alias("id"), F.col("kind"), F.size("vec").alias("dim"), F.col("vec"), asks.alias("asks")
     )
     tops: dict = {}
+    hot = Hot()
     base = 0
     counted = good.groupBy("kind", "dim").count()
     for r in sorted(bounded(counted, MAX_KINDS, "kinds of vectors"), key=lambda r: (r.kind or "", r.kind is None, r.dim)):
@@ -293,40 +409,31 @@ def nearest(
         one = good.where(F.col("kind").eqNullSafe(F.lit(r.kind)) & (F.col("dim") == r.dim))
         x = one.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow() if r["count"] > CELL else None
         rows = _matrix(x.column("vec").combine_chunks(), r.dim) if x is not None else np.ones((1, r.dim), np.float32)
-        top = Top(r.kind, r.dim, rows, r["count"], base)
+        few = hot.add((r.kind, r.dim), rows, r["count"]) if x is not None else rows
+        top = Top(r.kind, r.dim, few, round(r["count"] * len(few) / len(rows)), base)
         base = top.next
         tops[r.kind, r.dim] = top
-    shipped = spark.sparkContext.broadcast(tops)
+    if hot.vectors:
+        _settle(good, hot, k, least)
+    shipped = spark.sparkContext.broadcast((tops, hot))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops, hot = shipped.value
         for batch in batches:
-            kinds, dims = batch.column("kind").to_pylist(), batch.column("dim").to_numpy()
-            groups: dict = {}
-            for i, key in enumerate(zip(kinds, dims.tolist())):
-                groups.setdefault(key, []).append(i)
-            for (kind, dim), at in groups.items():
-                part = batch.take(pa.array(at, pa.int32()))
-                ids = part.column("id").to_numpy()
-                x = _matrix(part.column("vec"), dim)
-                row, task, member = shipped.value[kind, dim].route(ids, x, extra_cells)
-                ask = part.column("asks").to_numpy(zero_copy_only=False)[row]
-                keep = member | ask
-                row, task, member, ask = row[keep], task[keep], member[keep], ask[keep]
-                raw = np.ascontiguousarray(x[row])
-                size = dim * 4
-                blob = pa.Array.from_buffers(
-                    pa.binary(), len(row), [None, pa.py_buffer((np.arange(len(row) + 1) * size).astype(np.int32)), pa.py_buffer(raw)]
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(task.astype(np.int32)),
-                        pa.array((member.astype(np.int8) + 2 * ask.astype(np.int8)).astype(np.int8)),
-                        pa.array([kind] * len(row), pa.string()),
-                        pa.array(ids[row]),
-                        blob,
-                    ],
-                    names=["task", "role", "kind", "id", "vec"],
-                )
+            for key, ids, x, asks in _by_kind(batch):
+                if key in hot.numbers:
+                    rest = hot.others(key, ids, x) < 0
+                    ids, x, asks = ids[rest], x[rest], asks[rest]
+                rows, tasks, roles = tops[key].route(ids, x, extra_cells, asks)
+                for a in range(0, len(rows), 1 << 16):
+                    row, task, role = (v[a : a + (1 << 16)] for v in (rows, tasks, roles))
+                    raw = np.ascontiguousarray(x[row])
+                    ends = (np.arange(len(row) + 1) * key[1] * 4).astype(np.int32)
+                    blob = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(task.astype(np.int32)), pa.array(role.astype(np.int8)), pa.array([key[0]] * len(row), pa.string()), pa.array(ids[row]), blob],
+                        names=["task", "role", "kind", "id", "vec"],
+                    )
 
     def look(table):
         blob = table.column("vec").combine_chunks()
@@ -343,7 +450,24 @@ def nearest(
 
     edges = good.mapInArrow(route, "task int, role byte, kind string, id long, vec binary").groupBy("task").applyInArrow(look, EDGES)
     best = Window.partitionBy("kind", "query_id").orderBy(F.desc("cosine"), "found_id")
-    return edges.dropDuplicates(["kind", "query_id", "found_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = edges.dropDuplicates(["kind", "query_id", "found_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if not hot.vectors:
+        return ranked
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shipped.value[1]
+        for batch in batches:
+            for key, ids, x, asks in _by_kind(batch):
+                number = np.where(asks, hot.others(key, ids, x), -1)
+                for h in np.unique(number[number >= 0]):
+                    mine, answer = np.unique(ids[number == h]), hot.answers[h]
+                    m = len(answer)
+                    cols = (np.repeat(mine, m), np.tile(np.array([i for i, _ in answer], np.int64), len(mine)), np.tile(np.array([c for _, c in answer], np.float64), len(mine)))
+                    rank = np.tile(np.arange(1, m + 1, dtype=np.int32), len(mine))
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(rank), pa.string()), *map(pa.array, cols), pa.array(rank)], names=[*EDGES.names, "rank"])
+
+    schema = "kind string, query_id long, found_id long, cosine double, rank int"
+    return ranked.unionByName(good.mapInArrow(copies, schema).dropDuplicates(["kind", "query_id", "found_id"]))
 
 
 def close_pairs(vectors: DataFrame, k: int = 5, least: float = 0.9) -> DataFrame:

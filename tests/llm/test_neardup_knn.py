@@ -129,3 +129,49 @@ def test_equal_vectors_dont_fill_one_leaf(spark):
     ids = np.arange(2000)
     q, m, cos = K.cell_edges(ids, x, np.ones(2000, bool), np.ones(2000, bool), 5, 0.9)
     assert np.bincount(q, minlength=2000).min() == 5 and np.allclose(cos, 1)
+
+
+def test_crowded_cells_lose_no_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(K, "CELL", 64)
+    x = vectors(600)
+    spread = np.random.default_rng(3).uniform(0.5, 3, (300, 1)).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    for crowd in (np.repeat(x[:1], 300, axis=0), x[:1] * spread):  # equal, and merely proportional
+        rows = [(i, "k", 16, v.tolist(), "x", 0) for i, v in enumerate(np.r_[x, crowd])]
+        got = K.nearest(spark.createDataFrame(rows, SCHEMA), 5, extra_cells=64, extra_leaves=48).collect()
+        found = {}
+        for r in got:
+            found.setdefault(r.query_id, []).append((r.rank, r.found_id, r.cosine))
+        assert all(len({f for _, f, _ in v}) == len(v) == 5 for v in found.values()) and len(found) == 900
+        c = np.r_[u, crowd / np.linalg.norm(crowd, axis=1, keepdims=True)]
+        t = c @ c.T
+        np.fill_diagonal(t, -2)
+        fifth = np.sort(t, axis=1)[:, -5]
+        hit = sum(cos >= fifth[q] - 1e-5 for q, v in found.items() for _, _, cos in v)
+        assert hit >= 0.995 * 4500
+    # Of equal vectors every copy names the least ids.
+    got = K.nearest(spark.createDataFrame([(i, "k", 16, v.tolist(), "x", 0) for i, v in enumerate(np.r_[x, np.repeat(x[:1], 300, axis=0)])], SCHEMA), 5).where("query_id > 650").collect()
+    assert {(r.rank, r.found_id) for r in got} == {(1, 0), (2, 600), (3, 601), (4, 602), (5, 603)}
+
+
+def test_parts_of_a_cell_meet(monkeypatch):
+    monkeypatch.setattr(K, "CELL", 64)
+    x = np.r_[vectors(300), np.repeat(vectors(1), 600, axis=0)]
+    top = K.Top("k", 16, x, len(x), 5)
+    assert top.parts.max() > 1
+    ids, asks = np.arange(len(x)), np.arange(len(x)) % 2 == 0
+    row, task, role = top.route(ids, x, 1, asks)
+    assert task.min() >= 5 and task.max() < top.next and set(role.tolist()) == {1, 2, 3}
+    member = {i: set() for i in ids.tolist()}
+    query = {i: set() for i in ids.tolist()}
+    for r, t, k in zip(row.tolist(), task.tolist(), role.tolist()):
+        if k & 1:
+            member[r].add(t)
+        if k & 2:
+            query[r].add(t)
+    cells = K.search(top.trees, K._unit(x), 0)
+    for q in ids[asks].tolist():
+        assert all(query[q] & member[m] for m in np.flatnonzero((cells == cells[q]).any(axis=1)).tolist())
+    assert not any(query[q] for q in ids[~asks].tolist())
