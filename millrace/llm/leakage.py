@@ -124,34 +124,6 @@ class Index:
         entry = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
         return self.item[entry], pos[of] - self.at[entry], pos[of]
 
-    def regions(self, text: str) -> list[tuple[int, int, int, int]]:
-        """Regions of a normalised text that meet the bound: (item, diagonal, first, last q-gram in the text)."""
-        got = self.matches(text)
-        if got is None:
-            return []
-        item, diagonal, pos = got
-        # Bands of 2 (e + 1) diagonals that overlap by half: any e + 1 neighbours lie in one.
-        width = self.edits + 1
-        out = []
-        for shift in ((0,) if width == 1 else (0, width)):
-            band = (diagonal + shift) // (width if width == 1 else 2 * width)
-            order = np.lexsort((pos, band, item))
-            i, b, p, d = item[order], band[order], pos[order], diagonal[order]
-            new = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
-            for a, z in zip(new, np.r_[new[1:], len(i)]):
-                need, least = int(self.need[i[a]]), int(self.least[i[a]])
-                if z - a < need:
-                    continue
-                # Windows of the least passage length in which enough q-grams are shared.
-                last = np.searchsorted(p[a:z], p[a:z] + least + self.edits, side="left")
-                full = np.flatnonzero(last - np.arange(z - a) >= need)
-                if not len(full):
-                    continue
-                cut = np.flatnonzero(np.diff(full) > least)
-                for s, e in zip(np.r_[full[0], full[cut + 1]], np.r_[full[cut], full[-1]]):
-                    out.append((int(i[a]), int(d[a + s]), int(p[a + s]), int(p[a + last[e] - 1])))
-        return list(dict.fromkeys(out))
-
 
 def banded_edits(a: str, b: str, most: int, loose: bool = False) -> int:
     """Edit distance of two texts within ``most`` diagonals, or ``most + 1`` if it is larger.
@@ -179,46 +151,6 @@ def banded_edits(a: str, b: str, most: int, loose: bool = False) -> int:
     return min(inf, min(row.values()) if loose else row.get(len(b), inf))
 
 
-def longest_run(a: list[str], b: list[str], around: int, slack: int) -> tuple[int, int]:
-    """Longest run of equal words on word diagonals near ``around``: (words, first word in ``a``)."""
-    best, at = 0, 0
-    for d in range(around - slack, around + slack + 1):
-        run = 0
-        for i in range(max(0, d), min(len(a), len(b) + d)):
-            if a[i] == b[i - d]:
-                run += 1
-                if run > best:
-                    best, at = run, i - run + 1
-            else:
-                run = 0
-    return best, at
-
-
-def leaks_of(text: str | None, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """Leaks of one document: (item, consecutive words in common, first word, edits, aligned characters)."""
-    w = words(text)
-    if len(w) < index.min_words:
-        return []
-    flat = " ".join(w)
-    found: dict[int, tuple[int, int, int, int]] = {}
-    for item, diagonal, first, last in index.regions(flat):
-        mine, theirs = flat[first : last + index.q], index.texts[item][first - diagonal : last + index.q - diagonal + index.edits]
-        edits = banded_edits(mine, theirs, index.edits, loose=True)
-        if edits > index.edits and index.edits == 0:
-            # Equal q-grams on one diagonal with a gap: the parts between the gaps still count.
-            edits = sum(x != y for x, y in zip(mine, theirs))
-        wa = flat.count(" ", 0, first)
-        wb = index.texts[item].count(" ", 0, max(0, first - diagonal))
-        # From a little before the region on, as far as it reaches.
-        lo_a, lo_b = max(0, wa - 1), max(0, wb - 1)
-        n = flat.count(" ", first, last + index.q) + 3
-        run, at = longest_run(w[lo_a : lo_a + n], index.words[item][lo_b : lo_b + n], (wa - lo_a) - (wb - lo_b), 1 + index.edits)
-        old = found.get(item)
-        if old is None or (run, -edits) > (old[0], -old[2]):
-            found[item] = (run, lo_a + at, edits, len(mine))
-    return [(index.ids[i], *v) for i, v in sorted(found.items())]
-
-
 def passage_edits(a: str, text: str) -> int:
     """Edits between ``a`` and the stretch of ``text`` that is most similar to it (bit-parallel; begin and end are free)."""
     if a in text:
@@ -263,6 +195,29 @@ def stretches(item: np.ndarray, diagonal: np.ndarray, pos: np.ndarray) -> tuple[
     return i[new], d[new], p[new], np.diff(np.r_[new, len(p)])
 
 
+def leaks_of(text: str | None, index: Index) -> list[tuple[int, int, int, int, int]]:
+    """Longest equal stretch of each item in one document: (item, whole words, first word, no edits, characters).
+
+    A passage of equal words is a run of neighbouring q-grams on one diagonal;
+    runs shorter than the least passage of the item are passed over.
+    """
+    w = words(text)
+    if len(w) < index.min_words:
+        return []
+    flat = " ".join(w)
+    got = index.matches(flat)
+    if got is None:
+        return []
+    found: dict[int, tuple[int, int, int]] = {}
+    item, diagonal, first, n = stretches(*got)
+    long = n > index.least[item] - index.q
+    for i, d, p, k in zip(*(v[long].tolist() for v in (item, diagonal, first, n))):
+        run, s, e = whole_words(flat, index.texts[i], p, p + k + index.q - 1, d)
+        if run > found.get(i, (0,))[0]:
+            found[i] = (run, s, e)
+    return [(index.ids[i], run, flat.count(" ", 0, s), 0, e - s) for i, (run, s, e) in sorted(found.items())]
+
+
 def near_leaks_of(text: str | None, index: Index) -> list[tuple[int, int, int, int, int]]:
     """Passages of items within the edit budget in one document, the best of each item.
 
@@ -348,7 +303,7 @@ def find_leaks(
         held.setdefault(r.item_id, r.text)
     if sum(len(t or "") for t in held.values()) > MAX_ITEM_CHARS:
         raise ValueError(f"the items have more than {MAX_ITEM_CHARS} characters")
-    shared = documents.sparkSession.sparkContext.broadcast(Index(sorted(held.items()), min_words, edits, q))
+    shared = documents.sparkSession.sparkContext.broadcast(Index(sorted(held.items()), min_words, 0 if exact else edits, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value

@@ -61,6 +61,16 @@ def test_every_passage_is_verified_on_its_own(spark):
     assert {k for k in (0, 1, 2, 3, 5) if k in near} == {0, 2, 3} and near[0].edits == 0 and near[3].edits == 2
 
 
+def test_run_behind_a_gap_of_other_words():
+    long = [f"{c}longerwordofmany{c}" for c in "abcdefgh"]
+    short = [f"{c}{d}" for c in "pq" for d in "rstuvw"]
+    item = " ".join([*long, "one two six ten", *short])
+    doc = " ".join([*long, "incomprehensibl"[:15], *short])
+    assert len(item) == len(doc) and brute(doc, item)
+    got = L.leaks_of(doc, L.Index([(7, item)]))
+    assert [(g[0], g[1], g[2]) for g in got] == [(7, 12, 9)]
+
+
 def test_near_leaks_against_plain_alignment():
     def plain(a, b):
         row = [0] * (len(b) + 1)
