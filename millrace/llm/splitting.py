@@ -106,8 +106,9 @@ def cut(text: str, limit: int, overlap: int, block: int = BLOCK_WORDS) -> list[t
 
     No piece has more than ``limit`` words, its overlap included; each piece
     after the first begins with the ``overlap`` last words before it (at most
-    ``limit - 1``, so that every piece brings a new word). A text within the
-    limit is one piece; a text without words none.
+    ``limit - 1``, so that every piece brings a new word). For that the first
+    piece has at least ``overlap`` words. A text within the limit is one piece; a
+    text without words none.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
@@ -131,15 +132,16 @@ def cut(text: str, limit: int, overlap: int, block: int = BLOCK_WORDS) -> list[t
     scores = depths + 0.15 * (ranks[gaps].astype(float) - 1)
     out, at = [], 0
     while at < n:
-        carried = overlap if at else 0
+        # The first piece holds at least one overlap, so all later ones begin with a full one.
+        carried, least = (overlap, 1) if at else (0, max(1, overlap))
         room = limit - carried
         if n - at <= room:
             out.append((at, n, carried, "end"))
             break
-        low = at + max(1, int(room * LEAST_FILL))
+        low = at + max(least, int(room * LEAST_FILL))
         a, b = np.searchsorted(gaps, low), np.searchsorted(gaps, at + room, side="right")
         if a == b:  # none in the upper part of the window: take any later than its start
-            a = np.searchsorted(gaps, at + 1)
+            a = np.searchsorted(gaps, at + least)
         if a < b:
             best = a + int(np.argmax(scores[a:b]))
             end, kind = int(gaps[best]), ("", "sentence", "line", "paragraph")[ranks[gaps[best]]]

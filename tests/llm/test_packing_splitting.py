@@ -101,3 +101,13 @@ def test_split_oversized(spark):
 def test_a_very_long_text_is_cut_in_linear_time():
     text = "Some words stand here and there. " * 40_000
     assert sum(n - c for n, c, *_ in S.pieces(text, 220, 30)) == 240_000
+
+
+def test_a_short_first_line_loses_no_text():
+    """A first line shorter than the overlap, then words without a sentence end, at the limits of production."""
+    text = "Two words\n" + "word " * 400
+    got = S.pieces(text, 220, 30)
+    assert [c for _, c, *_ in got] == [0, 30, 30][: len(got)]
+    for n, _, a, b, _ in got:
+        assert len(S.WORD.findall(text[a:b])) == n <= 220
+    assert text[got[0][2] : got[0][3]] + "".join(text[p[3] : q[3]] for p, q in zip(got, got[1:])) == text
