@@ -43,19 +43,9 @@ def _encoding(path: str):
     return tiktoken.Encoding("millrace", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: A run without any white space longer than this is cut before encoding; merges
-#: over longer runs take time that grows with the square of the run.
-_LONG_RUN = 20_000
-
-
 def count_tokens(text: str | None, vocabulary: str = VOCABULARY) -> int:
-    """Tokens of the whole text; null and empty have none."""
-    if not text:
-        return 0
-    enc = _encoding(vocabulary)
-    if len(text) <= _LONG_RUN or len(max(text.split(), key=len, default="")) <= _LONG_RUN:
-        return len(enc.encode_ordinary(text))
-    return sum(len(enc.encode_ordinary(text[i : i + _LONG_RUN])) for i in range(0, len(text), _LONG_RUN))
+    """Tokens of the whole text, whatever its length or layout; null and empty have none."""
+    return len(_encoding(vocabulary).encode_ordinary(text)) if text else 0
 
 
 def with_tokens(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, out: str = "n_tokens") -> DataFrame:

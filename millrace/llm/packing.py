@@ -166,6 +166,7 @@ def pack_chunks(chunks: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
     )
     if not limits:
         return chunks.sparkSession.createDataFrame([], PLACED)
+    items = items.persist()  # two numbers a chunk: texts are read and counted once
     count = items.count()
     blocks = max(1, round(count / ITEMS_PER_BLOCK))
     limits = sorted((int(c), str(name)) for name, c in limits)

@@ -207,3 +207,12 @@ def test_operator(spark):
     got = G.find_garbled(df).collect()
     assert [r.doc_id for r in got] == [500]
     assert G.find_garbled(df.limit(0)).collect() == []
+
+
+def test_tokens_of_long_runs_are_those_of_the_tokenizer():
+    """Long runs without white space are encoded whole: a split at any other place would give other counts."""
+    enc = M._encoding(M.VOCABULARY)
+    link = "https://example.org/" + "ab1c-de/f=" * 6_000
+    for text in (link, "Some words before " + link + " and after.", "é" * 50_000, "x" * 100_000):
+        assert M.count_tokens(text) == len(enc.encode_ordinary(text))
+        assert enc.decode(enc.encode_ordinary(text)) == text
