@@ -4,31 +4,35 @@ Texts are reduced to their words (lower-case runs of a-z and 0-9) joined by one
 blank. A passage of ``w`` characters that differs from its copy by at most ``e``
 edits shares at least ``w - q + 1 - q * e`` q-grams with it, and all of these
 lie within ``e`` diagonals of each other (q-gram lemma). So for each document the
-q-grams it shares with an item are counted in overlapping bands of diagonals, for
-every passage of ``min_words`` words of the item; each passage that reaches its
-own bound is verified by an alignment of its own.
+q-grams it shares with an item are counted in overlapping bands of diagonals;
+bands below the bound are dropped for many documents at once, and in those that
+are left every passage of ``min_words`` words of the item that reaches its own
+bound is verified by an alignment within its band.
 
-The held-out items are few and their number is checked: they form an index that
-every task gets. Documents stay where they are, nothing is shuffled.
+The held-out items form an index that every task gets, in blocks of a checked
+size if there are many. Documents stay where they are, nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.tables import bounded, spread
 
-#: Items and characters of items at most; their index is shipped to every task (about 20 bytes a character).
-MAX_ITEMS, MAX_ITEM_CHARS = 100_000, 5_000_000
+#: Characters of the items of one block on average, and rows of one at most; a block's index is shipped to every task (about 20 bytes a character).
+BLOCK_CHARS, BLOCK_ITEMS = 2_000_000, 2_000_000
+#: Characters of documents whose q-grams are looked up together; a longer text is looked up alone.
+AT_ONCE = 1 << 20
 Q = 8
 MIN_WORDS = 12
-_WORD = re.compile("[a-z0-9]+")
+#: Upper-case ASCII letters are gone before this; all that is no word character becomes a blank.
+_PLAIN = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 
 LEAKS = T.StructType(
     [
@@ -42,58 +46,57 @@ LEAKS = T.StructType(
 )
 
 
+def flatten(text: str | None) -> bytes:
+    """The words of a text joined by one blank."""
+    return b" ".join(text.lower().encode("ascii", "replace").translate(_PLAIN).split()) if text else b""
+
+
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return flatten(text).decode().split()
 
 
-def _grams(flat: np.ndarray, q: int) -> np.ndarray:
-    """Codes of all q-grams of a byte array, q at most 8."""
+def _grams(flat: bytes, q: int) -> np.ndarray:
+    """Codes of all q-grams of a byte string, q at most 8."""
     n = len(flat) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(q):
-        out = (out << np.uint64(8)) | flat[k : k + n].astype(np.uint64)
-    return out
+    wide = np.frombuffer(flat + b"\n" * 8, np.uint8)
+    code = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, 8)[:n]).view(np.uint64)[:, 0]
+    return code if q == 8 else code & np.uint64((1 << 8 * q) - 1)
 
 
 class Index:
-    """Held-out items by q-gram, and per item the least length of ``min_words`` consecutive words."""
+    """Held-out items by q-gram, with the passages of ``min_words`` consecutive words of each."""
 
     def __init__(self, items: list[tuple[int, str | None]], min_words: int = MIN_WORDS, edits: int = 0, q: int = Q):
         if not 1 <= q <= 8:
             raise ValueError("q must be from 1 to 8")
         self.q, self.edits, self.min_words = q, edits, min_words
-        self.ids, self.words = [], []
+        self.ids, self.texts, self.passages, least = [], [], [], []
         for i, text in items:
-            w = words(text)
-            if len(w) >= min_words:
-                self.ids.append(i)
-                self.words.append(w)
-        texts = [" ".join(w) for w in self.words]
-        self.texts = texts
-        self.least = np.array(
-            [min(sum(map(len, w[k : k + min_words])) for k in range(len(w) - min_words + 1)) + min_words - 1 for w in self.words],
-            np.int64,
-        )
-        #: First and last character (exclusive) of every passage of ``min_words`` words.
-        self.passages = []
-        for w in self.words:
+            flat = flatten(text)
+            w = flat.split()
+            if len(w) < min_words:
+                continue
             n = np.cumsum([0] + [len(x) + 1 for x in w])
-            self.passages.append((n[: len(w) - min_words + 1], n[min_words:] - 1))
+            #: First and last character (exclusive) of every passage.
+            begin, end = n[: len(w) - min_words + 1], n[min_words:] - 1
+            self.ids.append(i)
+            self.texts.append(flat)
+            self.passages.append((begin, end))
+            least.append(int((end - begin).min()))
+        self.least = np.array(least, np.int64)
         #: Shared q-grams that a region must reach, by the lemma; at least one.
         self.need = np.maximum(1, self.least - q + 1 - q * edits)
         if edits and len(self.least) and (self.least - q + 1 - q * edits).min() < 1:
             raise ValueError("the edit budget leaves no q-gram that a passage must share; take a smaller q or budget")
-        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-        flat = np.frombuffer(("\n".join(texts) + "\n").encode("ascii"), np.uint8)
-        code = _grams(flat, q)
-        item = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[: len(code)].astype(np.int32)
-        at = (np.arange(len(code)) - starts[item]).astype(np.int32) if len(code) else np.zeros(0, np.int32)
-        inside = np.zeros(len(code), bool)
-        for k, t in enumerate(texts):
-            inside[starts[k] : starts[k] + max(0, len(t) - q + 1)] = True
-        code, item, at = code[inside], item[inside], at[inside]
+        sizes = np.array([len(t) for t in self.texts], np.int64)
+        starts = np.cumsum(np.r_[0, sizes + 1])[:-1]
+        code = _grams(b"\n".join(self.texts), q)
+        item = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)[: len(code)]
+        at = np.arange(len(code)) - starts[item] if len(code) else np.zeros(0, np.int64)
+        inside = at <= (sizes - q)[item] if len(code) else np.zeros(0, bool)
+        code, item, at = code[inside], item[inside], at[inside].astype(np.int32)
         order = np.argsort(code, kind="stable")
         code, self.item, self.at = code[order], item[order], at[order]
         self.code, first = np.unique(code, return_index=True)
@@ -103,26 +106,58 @@ class Index:
 
     @staticmethod
     def _slot(code: np.ndarray) -> np.ndarray:
-        return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
-
-    def matches(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """The q-grams a normalised text shares with items: (item, diagonal, place in the text), or None if too few."""
-        if len(text) < self.q or not len(self.code):
-            return None
-        code = _grams(np.frombuffer(text.encode("ascii"), np.uint8), self.q)
-        maybe = np.flatnonzero(self.seen[self._slot(code)])
-        if len(maybe) < self.need.min():
-            return None
-        k = np.searchsorted(self.code, code[maybe])
+        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).view(np.int64)
+
+    def _dense(self, pos: np.ndarray) -> np.ndarray:
+        """Places (rising) that lie with enough others in a stretch as long as the shortest passage.
+
+        Every part of a passage that is as long as the shortest one keeps the bound
+        of the shortest one, so no q-gram of a passage is lost.
+        """
+        need = int(self.need.min())
+        if need < 2 or len(pos) < need:
+            return pos if len(pos) >= need else pos[:0]
+        first = np.flatnonzero(pos[need - 1 :] - pos[: len(pos) - need + 1] <= int(self.least.min()) - self.q + self.edits)
+        marks = np.bincount(first, minlength=len(pos) + 1) - np.bincount(first + need, minlength=len(pos) + 1)[: len(pos) + 1]
+        return pos[np.cumsum(marks)[: len(pos)] > 0]
+
+    def shared(self, flats: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The q-grams that texts share with items: (text, item, diagonal, place in the text), in order of text and place.
+
+        Only texts and items are kept that have, in some band of diagonals, as
+        many shared q-grams as the lemma asks for.
+        """
+        none = (np.zeros(0, np.int64),) * 4
+        sizes = np.array([len(t) for t in flats], np.int64)
+        starts = np.cumsum(np.r_[0, sizes + 1])[:-1]
+        code = _grams(b"\n".join(flats), self.q)
+        if not len(self.code) or not len(code):
+            return none
+        pos = self._dense(np.flatnonzero(self.seen[self._slot(code)]))
+        code = code[pos]
+        k = np.searchsorted(self.code, code)
         k[k == len(self.code)] = 0
-        good = self.code[k] == code[maybe]
-        pos, k = maybe[good], k[good]
-        if len(pos) < self.need.min():
-            return None
+        good = self.code[k] == code
+        pos, k = pos[good], k[good]
+        keep = np.isin(pos, self._dense(pos), assume_unique=True)
+        pos, k = pos[keep], k[keep]
+        if not len(pos):
+            return none
+        doc = np.searchsorted(starts, pos, side="right") - 1
         n = self.first[k + 1] - self.first[k]
-        of = np.repeat(np.arange(len(pos)), n)
         entry = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return self.item[entry], pos[of] - self.at[entry], pos[of]
+        doc, pos = np.repeat(doc, n), np.repeat(pos - starts[doc], n)
+        item = self.item[entry].astype(np.int64)
+        diagonal = pos - self.at[entry]
+        # Bands of 2 (e + 1) diagonals that overlap by half: any e + 1 neighbours lie in one.
+        full = np.zeros(len(pos), bool)
+        pair = (doc * len(self.ids) + item).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        need = self.need[item]
+        for shift in (0, self.edits + 1):
+            band = ((diagonal + shift) // (2 * self.edits + 2)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            slot = ((pair + band) >> np.uint64(44)).view(np.int64)  # bands that meet in a slot only keep each other
+            full |= np.bincount(slot, minlength=1 << 20)[slot] >= need
+        return doc[full], item[full], diagonal[full], pos[full]
 
 
 def banded_edits(a: str, b: str, most: int, loose: bool = False) -> int:
@@ -151,12 +186,12 @@ def banded_edits(a: str, b: str, most: int, loose: bool = False) -> int:
     return min(inf, min(row.values()) if loose else row.get(len(b), inf))
 
 
-def passage_edits(a: str, text: str) -> int:
+def passage_edits(a: bytes, text: bytes) -> int:
     """Edits between ``a`` and the stretch of ``text`` that is most similar to it (bit-parallel; begin and end are free)."""
     if a in text:
         return 0
     m = len(a)
-    places: dict[str, int] = {}
+    places: dict[int, int] = {}
     for k, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << k
     mask, top = (1 << m) - 1, 1 << (m - 1)
@@ -176,15 +211,16 @@ def passage_edits(a: str, text: str) -> int:
     return best
 
 
-def whole_words(flat: str, other: str, first: int, end: int, diagonal: int) -> tuple[int, int, int]:
+def whole_words(flat: bytes, other: bytes, first: int, end: int, diagonal: int) -> tuple[int, int, int]:
     """Of an equal stretch that can't be extended, the words that are whole in both texts: (words, begin, end)."""
-    if first and flat[first - 1] != " " or first - diagonal and other[first - diagonal - 1] != " ":
-        first = flat.find(" ", first, end) + 1
+    blank = 32
+    if first and flat[first - 1] != blank or first - diagonal and other[first - diagonal - 1] != blank:
+        first = flat.find(b" ", first, end) + 1
         if not first:
             return 0, 0, 0
-    if end < len(flat) and flat[end] != " " or end - diagonal < len(other) and other[end - diagonal] != " ":
-        end = flat.rfind(" ", first, end)
-    return (flat.count(" ", first, end) + 1, first, end) if end > first else (0, 0, 0)
+    if end < len(flat) and flat[end] != blank or end - diagonal < len(other) and other[end - diagonal] != blank:
+        end = flat.rfind(b" ", first, end)
+    return (flat.count(b" ", first, end) + 1, first, end) if end > first else (0, 0, 0)
 
 
 def stretches(item: np.ndarray, diagonal: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -195,57 +231,24 @@ def stretches(item: np.ndarray, diagonal: np.ndarray, pos: np.ndarray) -> tuple[
     return i[new], d[new], p[new], np.diff(np.r_[new, len(p)])
 
 
-def leaks_of(text: str | None, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """Longest equal stretch of each item in one document: (item, whole words, first word, no edits, characters).
-
-    A passage of equal words is a run of neighbouring q-grams on one diagonal;
-    runs shorter than the least passage of the item are passed over.
-    """
-    w = words(text)
-    if len(w) < index.min_words:
-        return []
-    flat = " ".join(w)
-    got = index.matches(flat)
-    if got is None:
-        return []
-    found: dict[int, tuple[int, int, int]] = {}
-    item, diagonal, first, n = stretches(*got)
-    long = n > index.least[item] - index.q
-    for i, d, p, k in zip(*(v[long].tolist() for v in (item, diagonal, first, n))):
-        run, s, e = whole_words(flat, index.texts[i], p, p + k + index.q - 1, d)
-        if run > found.get(i, (0,))[0]:
-            found[i] = (run, s, e)
-    return [(index.ids[i], run, flat.count(" ", 0, s), 0, e - s) for i, (run, s, e) in sorted(found.items())]
-
-
-def near_leaks_of(text: str | None, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """Passages of items within the edit budget in one document, the best of each item.
+def _passages(flat: bytes, index: Index, it: int, diagonal: np.ndarray, pos: np.ndarray) -> tuple[int, int, int] | None:
+    """The best passage of one item within the budget: (edits, minus its characters, its place in the text), or None.
 
-    (item, longest run of whole equal words, its first word or that of the
-    passage, edits, characters of the passage). Neighbouring passages that are
-    within the budget together are one. Fewest edits come first, then the longest.
+    Passages that hold too few of the band's q-grams are passed over. Neighbouring
+    ones that are within the budget together are one; else each is aligned on its
+    own. Fewest edits come first, then the longest.
     """
-    w = words(text)
-    if len(w) < index.min_words:
-        return []
-    flat = " ".join(w)
-    got = index.matches(flat)
-    if got is None:
-        return []
-    item, diagonal, pos = got
     most, q, width = index.edits, index.q, index.edits + 1
-    found: dict[int, tuple[int, int, int]] = {}
-    # Bands of 2 (e + 1) diagonals that overlap by half: any e + 1 neighbours lie in one.
+    begin, stop = index.passages[it]
+    item, best = index.texts[it], None
     for shift in (0, width):
         band = (diagonal + shift) // (2 * width)
-        order = np.lexsort((band, item))
-        i, b, d, at = item[order], band[order], diagonal[order], (pos - diagonal)[order]
-        new = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
-        end = np.r_[new[1:], len(i)]
-        full = end - new >= index.need[i[new]]
+        order = np.argsort(band, kind="stable")
+        b, d, at = band[order], diagonal[order], (pos - diagonal)[order]
+        new = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        end = np.r_[new[1:], len(b)]
+        full = end - new >= index.need[it]
         for a, z in zip(new[full].tolist(), end[full].tolist()):
-            it = int(i[a])
-            begin, stop = index.passages[it]
             shared = np.unique(at[a:z])
             lost = stop - begin - q + 1 - (np.searchsorted(shared, stop - q + 1) - np.searchsorted(shared, begin))
             fit = np.flatnonzero(lost <= q * most)
@@ -255,7 +258,7 @@ def near_leaks_of(text: str | None, index: Index) -> list[tuple[int, int, int, i
 
             def edits(first: int, last: int) -> int:
                 s, e = int(begin[first]), int(stop[last])
-                return passage_edits(index.texts[it][s:e], flat[max(0, s + low) : max(0, e + high)])
+                return passage_edits(item[s:e], flat[max(0, s + low) : max(0, e + high)])
 
             cut = np.flatnonzero(np.diff(fit) > 1)
             for x, y in zip(fit[np.r_[0, cut + 1]].tolist(), fit[np.r_[cut, len(fit) - 1]].tolist()):
@@ -268,24 +271,69 @@ def near_leaks_of(text: str | None, index: Index) -> list[tuple[int, int, int, i
                         tried.append((edits(k, k), k, k))
                         least = min(least, tried[-1][0])
                 for n, f, g in tried:
-                    new_one = (n, int(begin[f] - stop[g]), max(0, int(begin[f]) + low + most))
-                    if n <= most and (it not in found or new_one < found[it]):
-                        found[it] = new_one
+                    one = (n, int(begin[f] - stop[g]), max(0, int(begin[f]) + low + most))
+                    if n <= most and (best is None or one < best):
+                        best = one
+    return best
+
+
+def _equal_run(flat: bytes, index: Index, it: int, diagonal: np.ndarray, pos: np.ndarray) -> tuple[int, int, int]:
+    """The longest run of whole words equal in text and item: (words, begin, end); runs of q-grams on one diagonal show it."""
+    best = (0, 0, 0)
+    _, ds, ps, ns = stretches(np.zeros(len(pos), np.int64), diagonal, pos)
+    for k in np.argsort(-ns, kind="stable").tolist():
+        if (ns[k] + index.q) // 2 <= best[0]:
+            break
+        got = whole_words(flat, index.texts[it], int(ps[k]), int(ps[k] + ns[k]) + index.q - 1, int(ds[k]))
+        if got[0] > best[0]:
+            best = got
+    return best
+
+
+def leaks_in(texts: list[str | None], index: Index, exact: bool = False) -> list[tuple[int, int, int, int, int, int]]:
+    """Leaks of many documents: (place in ``texts``, item, longest run of whole equal words, first word, edits, characters).
+
+    Every pair comes through the bands and an alignment within the budget. With
+    ``exact`` it must have ``min_words`` equal words in a row besides; the place
+    is then that run's, else that of the run or, without one, of the passage.
+    """
     out = []
-    for it, (n, chars, place) in sorted(found.items()):
-        mine = item == it
-        run, first = 0, place
-        _, ds, ps, ns = stretches(item[mine], diagonal[mine], pos[mine])
-        for k in np.argsort(-ns, kind="stable").tolist():
-            if (ns[k] + q) // 2 <= run:
-                break
-            words_, s, _ = whole_words(flat, index.texts[it], int(ps[k]), int(ps[k] + ns[k]) + q - 1, int(ds[k]))
-            if words_ > run:
-                run, first = words_, s
-        out.append((index.ids[it], run, flat.count(" ", 0, first), n, -chars))
+    flats = [flatten(t) for t in texts]
+    sizes = np.cumsum([len(f) + 1 for f in flats])
+    first = 0
+    while first < len(flats):
+        last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + AT_ONCE, side="right")))
+        group = flats[first:last]
+        doc, item, diagonal, pos = index.shared(group)
+        order = np.lexsort((pos, diagonal, item, doc))
+        doc, item, diagonal, pos = doc[order], item[order], diagonal[order], pos[order]
+        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]) if len(doc) else np.zeros(0, np.int64)
+        for a, z in zip(new.tolist(), np.r_[new[1:], len(doc)].tolist()):
+            if z - a < index.need[item[a]]:
+                continue
+            flat, it = group[doc[a]], int(item[a])
+            got = _passages(flat, index, it, diagonal[a:z], pos[a:z])
+            if got is None:
+                continue
+            run, s, e = _equal_run(flat, index, it, diagonal[a:z], pos[a:z])
+            if exact and run < index.min_words:
+                continue
+            place = s if run else got[2]
+            out.append((first + int(doc[a]), index.ids[it], run, flat.count(b" ", 0, place), got[0], e - s if exact else -got[1]))
+        first = last
     return out
 
 
+def leaks_of(text: str | None, index: Index) -> list[tuple[int, int, int, int, int]]:
+    """Items with ``min_words`` equal words in a row in one document: (item, whole words, first word, edits, characters)."""
+    return [x[1:] for x in leaks_in([text], index, exact=True)]
+
+
+def near_leaks_of(text: str | None, index: Index) -> list[tuple[int, int, int, int, int]]:
+    """Items with a passage within the edit budget in one document: (item, longest equal run, first word, edits, characters)."""
+    return [x[1:] for x in leaks_in([text], index)]
+
+
 def find_leaks(
     documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, edits: int = 0, q: int = Q, exact: bool = True
 ) -> DataFrame:
@@ -296,25 +344,26 @@ def find_leaks(
     ``edits`` edits of some stretch of the document. Needs doc_id and text of ``documents``, item_id and text of
     ``items``; other columns are ignored. Null and empty texts, and those with
     fewer than ``min_words`` words, are in no pair. Rows repeated under one id
-    count once. Whole texts are searched.
+    count once. Whole texts are searched. Items beyond one block are searched for
+    block by block, each against all documents.
     """
-    held = {}
-    for r in bounded(items.select("item_id", "text"), MAX_ITEMS, "items"):
-        held.setdefault(r.item_id, r.text)
-    if sum(len(t or "") for t in held.values()) > MAX_ITEM_CHARS:
-        raise ValueError(f"the items have more than {MAX_ITEM_CHARS} characters")
-    shared = documents.sparkSession.sparkContext.broadcast(Index(sorted(held.items()), min_words, 0 if exact else edits, q))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for leak in leaks_of(text, index) if exact else near_leaks_of(text, index):
-                    if not exact or leak[1] >= min_words:
-                        rows.append((i, *leak))
-            cols = list(zip(*rows)) or [()] * 6
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=LEAKS.names)
-
-    return spread(documents.select("doc_id", "text")).mapInArrow(run, LEAKS).dropDuplicates(["doc_id", "item_id"])
+    held = items.select("item_id", "text").where("text is not null")
+    size = held.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_CHARS))
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    found = None
+    for k in range(blocks):
+        mine: dict = {}
+        for r in bounded(held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), BLOCK_ITEMS, "items of one block"):
+            mine[r.item_id] = min(mine.get(r.item_id, r.text), r.text)
+        shared = documents.sparkSession.sparkContext.broadcast(Index(sorted(mine.items()), min_words, 0 if exact else edits, q))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id").to_pylist()
+                rows = [(ids[x[0]], *x[1:]) for x in leaks_in(batch.column("text").to_pylist(), shared.value, exact)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, types)], names=LEAKS.names)
+
+        one = spread(documents.select("doc_id", "text")).mapInArrow(run, LEAKS)
+        found = one if found is None else found.unionByName(one)
+    return found.dropDuplicates(["doc_id", "item_id"])
