@@ -2,11 +2,14 @@
 
 Three steps. (1) Over all documents adjacent character pairs are counted; from
 the counts comes each pair's share of the corpus's mutual information.
-(2) In a text, pairs that carry little of it score above zero; maximum-scoring
-segments of these scores are the improbable runs. (3) Only inside those runs
-inverse mappings are tried: bytes of the wrong charset are decoded by the right
-one, and a reading is taken where it is strictly valid and, where validity alone
-proves nothing, where its pairs are clearly more common in the corpus.
+(2) In a text, pairs that carry less than the mean share score above zero;
+maximum-scoring segments of these scores are the improbable runs. (3) Only
+inside those runs inverse mappings are tried: bytes of the wrong charset are
+decoded by the right one, and a reading is taken where it is strictly valid and,
+where validity alone proves nothing, where its pairs are clearly more common in
+the corpus. Where a run of a text has proved garbled, its other runs are isolated
+again with more generosity. Lost characters and character references are judged
+inside runs like all else.
 
 The pair table has a fixed number of slots, so what is shipped to every task has
 a fixed size whatever the corpus holds.
@@ -29,8 +32,8 @@ from millrace.tables import spread
 
 #: Slots of the table of pairs and of single characters: 2 x 4 MB and 0.5 MB, whatever the corpus.
 PAIR_SLOTS, CHAR_SLOTS = 1 << 20, 1 << 16
-#: A pair is improbable if it carries less than this many times the mean share of the mutual information.
-GENEROSITY = 20.0
+#: A pair is improbable if it carries less than this many times the mean share of the mutual information; in a text that has proved garbled, the second.
+GENEROSITY, AFTER_A_FIND = 1.0, 20.0
 #: How much more common (in nats per pair) a reading must be where its validity proves nothing.
 MARGIN = 1.0
 PASSES = 3
@@ -39,6 +42,8 @@ LOST = "�"
 #: Charsets in which UTF-8 bytes are commonly misread (fixed values, names of Python's codecs).
 _WRONG_FOR_UTF8 = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-2", "koi8-r", "cp866", "cp1254", "iso8859-15")
 _WRONG_WIDE = ("gb18030", "big5", "shift_jis", "euc_kr")
+#: Multi-byte charsets whose bytes are misread one by one.
+_REALLY_WIDE = ("shift_jis", "euc_jp", "gbk", "big5", "euc_kr")
 #: Single-byte charsets: what a text is read as, and what it really is in.
 _READ_AS = ("cp1252", "latin-1", "cp1251", "koi8-r", "cp866", "cp1250", "mac_roman", "cp437", "iso8859-2", "iso8859-5")
 _REALLY = ("cp1251", "koi8-r", "iso8859-2", "cp1250", "cp866", "cp1252", "iso8859-5", "mac_roman", "cp850")
@@ -75,6 +80,7 @@ class Pairs:
         self.log = np.log(pairs + 0.1).astype(np.float32)
         self.n, self.chars = n, chars
         self.pairs = pairs
+        self.seen: dict[str, float] = {}
         self.distinct = max(1, int((pairs > 0).sum()))
         #: Mean log count over all pairs as they occur: how common ordinary text is.
         self.usual = float((pairs * self.log).sum() / n)
@@ -97,19 +103,23 @@ class Pairs:
         np.add.at(pairs, _pair_slot(a, b), 1)
         np.add.at(chars, _char_slot(np.concatenate((a, b))), 1)
 
-    def scores(self, p: np.ndarray) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "seen": {}}
+
+    def scores(self, p: np.ndarray, generosity: float = GENEROSITY) -> np.ndarray:
         """Score of each adjacent pair: above zero if it carries little of the mutual information."""
-        a, b = p[:-1], p[1:]
+        out = np.full(len(p) - 1, -0.4)
+        high = p > 127
+        at = np.flatnonzero(high[:-1] | high[1:])
+        a, b = p[at], p[at + 1]
         n = self.pairs[_pair_slot(a, b)].astype(np.float64)
         one = self.chars[_char_slot(a)].astype(np.float64) * self.chars[_char_slot(b)] + 1
         # The share of one pair, p(a, b) * log(p(a, b) / (p(a) p(b))), against the mean over pairs.
         share = n * np.maximum(0.1, np.log((n + 0.1) * 4 * self.n / one))
         mean = self.n * 3.0 / self.distinct
-        out = np.clip(np.log(GENEROSITY * mean / (share + 1e-3)), -4, 4)
-        out[(a < 128) & (b < 128)] = -0.4
-        out[(a == 0xFFFD) | (b == 0xFFFD)] = 4
-        control = ((a > 127) & (a < 160)) | ((b > 127) & (b < 160))
-        out[control] = 4
+        out[at] = np.clip(np.log(generosity * mean / (share + 1e-3)), -4, 4)
+        odd = (p == 0xFFFD) | (p > 127) & (p < 160)
+        out[odd[:-1] | odd[1:]] = 4
         return out
 
     def known(self, text: str) -> bool:
@@ -119,6 +129,15 @@ class Pairs:
 
     def common(self, text: str) -> float:
         """Mean log count of the pairs of a text that hold a non-ASCII character; 0 if there are none."""
+        if len(text) > 24:
+            return self._common(text)
+        if (got := self.seen.get(text)) is None:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            got = self.seen[text] = self._common(text)
+        return got
+
+    def _common(self, text: str) -> float:
         p = _points(text)
         a, b = p[:-1], p[1:]
         keep = (a > 127) | (b > 127)
@@ -132,16 +151,18 @@ def runs(scores: np.ndarray) -> list[tuple[int, int]]:
     than it has won so far.
     """
     out, total, best, start, end = [], 0.0, 0.0, 0, 0
-    for i in np.flatnonzero(scores > 0).tolist() if len(scores) else []:
-        # From the end of the last positive pair to here everything scores below zero.
+    at = np.flatnonzero(scores > 0)
+    own, until = scores[at].tolist(), np.r_[0.0, np.cumsum(scores)]
+    # From the end of the last positive pair to the next one everything scores below zero.
+    between = np.r_[0.0, until[at[1:]] - until[at[:-1] + 1]].tolist() if len(at) else []
+    for i, won, lost in zip(at.tolist(), own, between):
         if total > 0:
-            total += float(scores[last + 1 : i].sum())  # noqa: F821
+            total += lost
         if total <= 0:
             if best > 0:
                 out.append((start, end))
             total, best, start = 0.0, 0.0, i
-        total += float(scores[i])
-        last = i
+        total += won
         if total > best:
             best, end = total, i + 1
     if best > 0:
@@ -182,7 +203,7 @@ def _utf8(text: str, codec: str) -> str | None:
 
 def _printable(text: str, controls: bool = False) -> bool:
     """Whether a text can be shown; with ``controls`` the upper control characters pass: bytes that a charset leaves out."""
-    return all(c.isprintable() or controls and "\x80" <= c <= "\x9f" or c in "\n\t\r ­​‎‏   ﻿" for c in text)
+    return text.isprintable() or all(c.isprintable() or controls and "\x80" <= c <= "\x9f" or c in "\n\t\r ­​‎‏   ﻿" for c in text)
 
 
 _WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uff00-\uffef\ue000-\uf8ff]")
@@ -281,11 +302,80 @@ def _as_single(part: str, stats: Pairs) -> tuple[str, str] | None:
     return best
 
 
+_BYTES = re.compile("(?:[^\x00-\x7f][\x20-\x7e]?){3,}")
+
+
+def _as_wide(part: str, stats: Pairs) -> tuple[str, str] | None:
+    """The best reading of a sentence as multi-byte text whose bytes were read one by one, if it is clearly more common."""
+    if not _BYTES.search(part):
+        return None
+    best, at = None, stats.common(part) + MARGIN
+    for wrong in ("cp1252", "latin-1"):
+        if any(c > "\x7f" and c not in _alphabet(wrong) for c in part):
+            continue
+        raw = bytes(_table(wrong)[0][c] for c in part)
+        for right in _REALLY_WIDE:
+            try:
+                new = raw.decode(right)
+            except UnicodeDecodeError:
+                continue
+            if _printable(new) and stats.known(new) and stats.common(new) > at:
+                best, at = (f"{right}>{wrong}", new), stats.common(new)
+    return best
+
+
 _ENTITIES = re.compile(r"(?:&(?:#\d{2,6}|#x[0-9A-Fa-f]{2,5}|[A-Za-z][A-Za-z0-9]{1,30});){2,}")
 _SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
 _GROUP = re.compile(r"[^ \t]+(?:[ \t]+[^ \t]*[^\x00-\x7f][^ \t]*)*")
 
 
+_ODD = re.compile("[\x80-\x84\x86-\x9f]")
+
+
+def _marks(text: str, stats: Pairs, generosity: float) -> np.ndarray | None:
+    """Whether each character lies in an improbable run; None if there is no run."""
+    found = runs(stats.scores(_points(" " + text + " "), generosity))
+    if not found:
+        return None
+    marks = np.zeros(len(text) + 2, bool)
+    for a, b in found:
+        marks[a : b + 1] = True
+    return marks[1:-1]
+
+
+def _references(text: str, stats: Pairs, generosity: float) -> tuple[str, int, list[str]]:
+    """Character references whose characters are a garbled run, restored; others stay as they are written."""
+    spans, shown, at, used = [], [], 0, []
+    n = 0
+    for m in _ENTITIES.finditer(text):
+        plain = html.unescape(m.group())
+        shown += [text[at : m.start()], plain]
+        n += m.start() - at
+        spans.append((m, plain, n))
+        n += len(plain)
+        at = m.end()
+    if not spans:
+        return text, 0, used
+    marks = _marks("".join([*shown, text[at:]]), stats, generosity)
+    if marks is None:
+        return text, 0, used
+    out, at, garbled = [], 0, 0
+    for m, plain, n in spans:
+        done = plain
+        before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
+        for _ in range(PASSES if marks[n : n + len(plain)].any() else 0):
+            got = _as_utf8(done, stats, tuple(c for c in ("cp1252", "latin-1") if _sequences(c).search(done)), before, after)
+            if got is None:
+                break
+            used.append(got[0])
+            done = got[1]
+        if done != plain:
+            garbled += 1
+            out += [text[at : m.start()], done]
+            at = m.end()
+    return "".join([*out, text[at:]]), garbled, used
+
+
 def restore(text: str | None, stats: Pairs) -> tuple[str | None, int, int, list[str]]:
     """(restored text, garbled runs, lost characters, charsets). Clean, null and empty texts come back as they are.
 
@@ -295,58 +385,47 @@ def restore(text: str | None, stats: Pairs) -> tuple[str | None, int, int, list[
         return text, 0, 0, []
     used: list[str] = []
     garbled = 0
-    if "&" in text:
-
-        def entity(m: re.Match) -> str:
-            nonlocal garbled
-            plain = html.unescape(m.group())
-            before, after = m.string[max(0, m.start() - 1) : m.start()], m.string[m.end() : m.end() + 1]
-            done = plain
-            for _ in range(PASSES):
-                got = _as_utf8(done, stats, tuple(c for c in ("cp1252", "latin-1") if _sequences(c).search(done)), before, after)
-                if got is None:
-                    break
-                used.append(got[0])
-                done = got[1]
-            if done == plain:
-                return m.group()
-            garbled += 1
-            return done
-
-        text = _ENTITIES.sub(entity, text)
+    for generosity in (GENEROSITY, AFTER_A_FIND):
+        if "&" in text and (garbled or generosity == GENEROSITY):
+            text, n, more = _references(text, stats, generosity)
+            garbled, used = garbled + n, used + more
     if text.isascii():
         return text, garbled, 0, used
-    for _ in range(PASSES):
-        found = runs(stats.scores(_points(" " + text + " ")))
-        if not found:
+    broken = False
+    for turn in range(PASSES + 1):
+        marks = _marks(text, stats, AFTER_A_FIND if garbled else GENEROSITY)
+        if marks is None:
             break
-        marks = np.zeros(len(text) + 2, bool)
-        for a, b in found:
-            marks[a : b + 1] = True
+        broken = broken or any(marks[m.start()] for m in _ODD.finditer(text))
         codecs, wide = _codecs(text), bool(_WIDE.search(text))
         # Runs are widened to the words they touch; a sentence is the scope of single-byte readings.
-        out, at, changed = [], 0, 0
+        out, at, changed, single, most = [], 0, 0, turn < PASSES, 0
         for m in [*_SENTENCE_END.finditer(text), None]:
             end = m.start() if m else len(text)
             part = text[at:end]
-            if part and not part.isascii() and marks[at + 1 : end + 1].any():
-                new = _words(part, marks[at + 1 : end + 1], stats, codecs) if codecs or wide else None
-                if new is None:
-                    got = _as_single(part, stats)
+            if part and not part.isascii() and marks[at:end].any():
+                new = _words(part, marks[at:end], stats, codecs) if codecs or wide else None
+                if new is None and single:
+                    got = _as_single(part, stats) or _as_wide(part, stats)
                     new = (got[1], [got[0]]) if got else None
+                    most = max(most, sum(c > "\x7f" for c in part))
                 if new is not None and new[0] != part:
                     used += new[1]
                     changed += 1
                     part = new[0]
             out += [part, m.group() if m else ""]
             at = m.end() if m else end
+        if not changed and most == 1 and not garbled:  # one such letter a sentence tells nothing; all of them together may
+            got = _as_single(text, stats)
+            if got:
+                used.append(got[0])
+                out, changed = [got[1]], 1
         if not changed:
             break
         garbled += changed
         text = "".join(out)
-    lost = text.count(LOST)
-    control = sum("\x80" <= c <= "\x9f" and c != "\x85" for c in text)
-    if (lost or control) and not garbled:
+    lost = text.count(LOST)  # always in a run, by their score
+    if (lost or broken) and not garbled:
         garbled = 1
     return text, garbled, lost, used
 
