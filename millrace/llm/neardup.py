@@ -10,39 +10,36 @@ tile pairs whose population counts differ beyond the radius are skipped. What is
 within the radius is verified on the sets themselves.
 
 Comparing all tiles with all grows with the square of the collection. So
-sketches first meet in buckets of equal min-hash bands (a pair of similarity 0.7
-shares none of the 24 with probability below 5e-5), and tiles are formed within
-buckets. A bucket above a certain size is cut into parts, and pairs of parts are
-separate tasks, so no bucket has to fit one task.
+sketches first meet in buckets of equal min-hash bands, as many as the threshold
+asks for (a pair at the threshold shares none with probability below 5e-5), and
+tiles are formed within buckets; many small buckets make up one tile. A bucket
+above a certain size is cut into parts, and pairs of parts are separate tasks, so
+no bucket has to fit one task.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.graph import components
-from millrace.session import checkpointed
-from millrace.tables import spread
+from millrace.session import checkpointed, shuffle_partitions
 
 SHINGLE = 5
 THRESHOLD = 0.7
-BANDS, ROWS = 24, 3
+#: Minima in a band, and how likely a pair at the threshold may share no band.
+ROWS, MISS = 3, 5e-5
 #: Rows of one tile; buckets above HOT rows are cut into parts of about that many.
 TILE, HOT = 512, 4096
-#: Hot buckets at most whose list is sent to every task (16 bytes each).
-MAX_SENT = 100_000
 LEAST_BITS = 128
 
-_WORD = re.compile("[a-z0-9]+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
@@ -54,37 +51,71 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_FACTORS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _POS[0]) | np.uint64(1)
-_SALTS = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _POS[1])
+def bands_for(t: float) -> int:
+    """Bands that a pair of similarity ``t`` must be given so that it misses all of them with probability ``MISS`` at most."""
+    if not 0 < t <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    return 1 if t == 1 else max(1, int(np.ceil(np.log(MISS) / np.log1p(-(t**ROWS)))))
+
+
+_IS_WORD = np.array([chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" for c in range(256)])
+#: Characters of texts that are hashed together; a longer text is hashed alone.
+AT_ONCE = 1 << 18
+
+
+def hashed_runs(texts: list[str | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): the sorted 64-bit hashes of the distinct runs of ``k`` words of every text, and where those of text ``i`` begin.
+
+    Words are the maximal runs of a-z and 0-9 in the lower-cased text. Characters
+    of all texts are hashed at once, a word being the sum over its characters and places.
+    """
+    none = np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    raw = [t.lower().encode("ascii", "replace") if t else b"" for t in texts]
+    flat = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    word = _IS_WORD[flat]
+    at = np.flatnonzero(word)
+    if not len(at):
+        return none
+    begins = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+    lengths = np.diff(np.r_[begins, len(at)])
+    place = np.arange(len(at)) - np.repeat(begins, lengths)
+    codes = np.add.reduceat(_mix(flat[at].astype(np.uint64) + place.astype(np.uint64) * np.uint64(257) + _POS[3]), begins)
+    n = len(codes) - k + 1
+    if n < 1:
+        return none
+    starts = np.cumsum([0] + [len(r) + 1 for r in raw])[:-1]
+    of = np.searchsorted(starts, at[begins], side="right") - 1
+    whole = of[:n] == of[k - 1 :]
+    out = np.zeros(n, np.uint64)
+    for i in range(k):
+        out = _mix(out + codes[i : i + n] * _POS[i % len(_POS)] + np.uint64(i + 1))
+    out, of = out[whole], of[:n][whole]
+    order = np.lexsort((out, of))
+    out, of = out[order], of[order]
+    new = np.r_[True, (out[1:] != out[:-1]) | (of[1:] != of[:-1])] if len(out) else np.zeros(0, bool)
+    return out[new], np.searchsorted(of[new], np.arange(len(texts) + 1))
+
+
+def in_groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Places (first, end) of neighbouring texts that are hashed together."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held > AT_ONCE and i > first:
+            yield first, i
+            first, held = i, len(t or "")
+    if first < len(texts):
+        yield first, len(texts)
 
 
 class Shingler:
-    """Sorted 64-bit hashes of the distinct five-word runs of texts; remembers the words it has hashed."""
+    """Sorted 64-bit hashes of the distinct five-word runs of one text."""
 
     def __init__(self, k: int = SHINGLE):
-        self.k, self.known = k, {}
+        self.k = k
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint64)
-        words = _WORD.findall(text.lower())
-        n = len(words) - self.k + 1
-        if n < 1:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        codes = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            codes.append(h)
-        h = np.array(codes, np.uint64)
-        out = np.zeros(n, np.uint64)
-        for i in range(self.k):
-            out = _mix(out + h[i : i + n] * _POS[i % len(_POS)] + np.uint64(i + 1))
-        return np.unique(out)
+        return hashed_runs([text], self.k)[0]
 
 
 def sketch_bits(n: int) -> int:
@@ -92,39 +123,30 @@ def sketch_bits(n: int) -> int:
     return max(LEAST_BITS, 1 << int(np.ceil(np.log2(max(2, 1.5 * n)))))
 
 
+def odd_sketches(sh: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """The sketch of every set of an array of sets."""
+    n = np.diff(bounds)
+    bits = np.array([sketch_bits(int(x)) for x in n], np.int64)
+    first = np.cumsum(np.r_[0, bits])
+    at = (_mix(sh ^ _POS[2]) & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(first[:-1], n)
+    packed = np.packbits((np.bincount(at, minlength=first[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip((first[:-1] // 8).tolist(), (first[1:] // 8).tolist())]
+
+
 def odd_sketch(sh: np.ndarray) -> bytes:
-    bits = sketch_bits(len(sh))
-    at = (_mix(sh ^ _POS[2]) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return odd_sketches(sh, np.array([0, len(sh)]))[0]
 
 
-def bands_of(sh: np.ndarray) -> np.ndarray:
-    """Keys of the min-hash bands of a set."""
-    low = np.empty(len(_FACTORS), np.uint64)
-    for a in range(0, len(_FACTORS), 24):
-        low[a : a + 24] = (sh[:, None] * _FACTORS[a : a + 24]).min(axis=0)
-    key = _SALTS.copy()
+def bands_of(sh: np.ndarray, bounds: np.ndarray, bands: int) -> np.ndarray:
+    """Keys of the min-hash bands of every (not empty) set of an array of sets: one row per set."""
+    factors = _mix(np.arange(1, bands * ROWS + 1, dtype=np.uint64) * _POS[0]) | np.uint64(1)
+    low = np.stack([np.minimum.reduceat(sh * f, bounds[:-1]) for f in factors], axis=1)
+    key = np.tile(_mix(np.arange(1, bands + 1, dtype=np.uint64) * _POS[1]), (len(low), 1))
     for r in range(ROWS):
-        key = _mix(key ^ low[r::ROWS])
+        key = _mix(key ^ low[:, r::ROWS])
     return key
 
 
-def _within(a: bytes, b: bytes, na: int, nb: int, t: float) -> bool:
-    """Whether two sketches are within the radius, in plain integers (for small buckets)."""
-    if min(na, nb) < t * max(na, nb):
-        return False
-    most = int((1 - t) / (1 + t) * (na + nb) + 1e-9)
-    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
-    la, lb = len(a), len(b)
-    while la > lb:
-        la //= 2
-        x = (x >> (8 * la)) ^ (x & ((1 << (8 * la)) - 1))
-    while lb > la:
-        lb //= 2
-        y = (y >> (8 * lb)) ^ (y & ((1 << (8 * lb)) - 1))
-    return (x ^ y).bit_count() <= most
-
-
 def _fold(rows: np.ndarray, words: int) -> np.ndarray:
     while rows.shape[1] > words:
         half = rows.shape[1] // 2
@@ -151,7 +173,7 @@ def tiled_pairs(sketches: list[bytes], sizes: np.ndarray, parts: np.ndarray, t:
     rate = (1 - t) / (1 + t)
     for x, (w, p) in enumerate(keys):
         for v, q in keys[x:]:
-            if v > 2 * w or across == (p == q):
+            if across == (p == q):
                 continue
             same = (w, p) == (v, q)
             (ia, ra), (ib, rb) = sets[w, p], sets[v, q]
@@ -168,7 +190,8 @@ def tiled_pairs(sketches: list[bytes], sizes: np.ndarray, parts: np.ndarray, t:
                     dist = np.zeros(radius.shape, np.int32)
                     for k in range(w):
                         dist += np.bitwise_count(ra[sa, k][:, None] ^ rb[sb, k][None, :])
-                    near = dist <= radius
+                    na, nb = sizes[ia[sa]][:, None], sizes[ib[sb]][None, :]
+                    near = (dist <= radius) & (np.minimum(na, nb) >= t * np.maximum(na, nb))
                     if same and a == b:
                         near = np.triu(near, 1)
                     i, j = np.nonzero(near)
@@ -176,6 +199,37 @@ def tiled_pairs(sketches: list[bytes], sizes: np.ndarray, parts: np.ndarray, t:
                         yield ia[sa][i], ib[sb][j]
 
 
+def small_tile(sketches: list[bytes], sizes: np.ndarray, parts: np.ndarray, starts: np.ndarray, ends: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within the radius of many small buckets (rows ``starts`` to ``ends``), compared as one tile.
+
+    As in :func:`tiled_pairs`, pairs whose set sizes put them beyond the radius
+    are skipped, and only pairs across parts count where a bucket has several.
+    """
+    m = ends - starts
+    first = np.repeat(np.arange(starts[0], ends[-1]), np.repeat(ends, m) - np.arange(starts[0], ends[-1]) - 1) if len(m) else np.zeros(0, np.int64)
+    n = np.bincount(first - starts[0], minlength=ends[-1] - starts[0]) if len(first) else np.zeros(0, np.int64)
+    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+    several = np.repeat(np.array([len(set(parts[s:e].tolist())) > 1 for s, e in zip(starts, ends)]), m)[first - starts[0]] if len(first) else np.zeros(0, bool)
+    a, b = sizes[first], sizes[second]
+    ok = (np.minimum(a, b) >= t * np.maximum(a, b)) & ~(several & (parts[first] == parts[second]))
+    first, second = first[ok], second[ok]
+    radius = np.floor((1 - t) / (1 + t) * (sizes[first] + sizes[second]) + 1e-9)
+    widths = np.array([len(s) // 8 for s in sketches], np.int64)
+    narrow = np.minimum(widths[first], widths[second])
+    near = np.zeros(len(first), bool)
+    for w in np.unique(narrow):
+        at = np.flatnonzero(narrow == w)
+        rows, place = np.unique(np.r_[first[at], second[at]], return_inverse=True)
+        folded = np.empty((len(rows), w), np.uint64)
+        for v in np.unique(widths[rows]):
+            some = np.flatnonzero(widths[rows] == v)
+            folded[some] = _fold(np.frombuffer(b"".join(sketches[rows[i]] for i in some), np.uint64).reshape(len(some), v), w)
+        for c in range(0, len(at), TILE * TILE):
+            x, y = place[: len(at)][c : c + TILE * TILE], place[len(at) :][c : c + TILE * TILE]
+            near[at[c : c + TILE * TILE]] = np.bitwise_count(folded[x] ^ folded[y]).sum(axis=1) <= radius[at[c : c + TILE * TILE]]
+    return first[near], second[near]
+
+
 _SIGNED = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -184,53 +238,50 @@ _SIGNED = T.StructType(
         T.StructField("n", T.IntegerType()),
         T.StructField("sketch", T.BinaryType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("runs", T.ArrayType(T.LongType())),
     ]
 )
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """id, class key, set size, sketch and band keys of every text with five words or more, once per id."""
+def signatures(docs: DataFrame, bands: int) -> DataFrame:
+    """id, class key, set size, sketch, band keys and hashed runs of every text with five words or more, once per id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
         for batch in batches:
-            rows = []
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                sh = shingles(text)
-                if len(sh):
-                    with np.errstate(over="ignore"):
-                        a = int(np.bitwise_xor.reduce(sh).view(np.int64))
-                        b = int((_mix(sh).sum(dtype=np.uint64) + np.uint64(len(sh))).view(np.int64))
-                    rows.append((i, a, b, len(sh), odd_sketch(sh), bands_of(sh).view(np.int64)))
-            cols = list(zip(*rows)) or [()] * 6
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=_SIGNED.names)
-
-    return spread(docs.select("id", "text").where("id is not null")).mapInArrow(run, _SIGNED).dropDuplicates(["id"])
+            ids, texts = batch.column("id"), batch.column("text").to_pylist()
+            for start, end in in_groups(texts):
+                sh, bounds = hashed_runs(texts[start:end])
+                n = np.diff(bounds)
+                some = np.flatnonzero(n)
+                if not len(some):
+                    continue
+                first = np.r_[bounds[some], len(sh)]
+                with np.errstate(over="ignore"):
+                    a = np.bitwise_xor.reduceat(sh, first[:-1])
+                    b = np.add.reduceat(_mix(sh), first[:-1]) + n[some].astype(np.uint64)
+                keys = bands_of(sh, first, bands)
+                lists = lambda x, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.take(pa.array(start + some)),
+                        pa.array(a.view(np.int64)),
+                        pa.array(b.view(np.int64)),
+                        pa.array(n[some].astype(np.int32)),
+                        pa.array(odd_sketches(sh, first), pa.binary()),
+                        lists(np.ascontiguousarray(keys).ravel(), np.arange(len(some) + 1) * bands),
+                        lists(sh, first),
+                    ],
+                    names=_SIGNED.names,
+                )
+
+    # A stated number of partitions, which AQE doesn't merge: the work per row is heavy.
+    dealt = docs.select("id", "text").where("id is not null and text is not null").repartition(shuffle_partitions(docs.sparkSession), "id")
+    return dealt.dropDuplicates(["id"]).mapInArrow(run, _SIGNED)
 
 
 def _compare(t: float):
     """Streams over rows sorted by cell and gives the pairs of each cell that are within the radius."""
 
-    def pairs(cell: pa.Table) -> Iterator[tuple[list, list]]:
-        ids = cell.column("rep").to_pylist()
-        m = len(ids)
-        sizes, parts = cell.column("n").to_numpy(), cell.column("part").to_numpy()
-        sketches = cell.column("sketch").to_pylist()
-        if m <= 12:
-            across = len(set(parts.tolist())) > 1
-            got = [
-                (ids[i], ids[j])
-                for i in range(m)
-                for j in range(i + 1, m)
-                if (parts[i] != parts[j] or not across) and _within(sketches[i], sketches[j], int(sizes[i]), int(sizes[j]), t)
-            ]
-            if got:
-                yield tuple(map(list, zip(*got)))
-            return
-        for i, j in tiled_pairs(sketches, sizes.astype(np.int64), parts, t):
-            yield [ids[k] for k in i], [ids[k] for k in j]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -238,15 +289,23 @@ def _compare(t: float):
             cells = table.column("cell").to_numpy()
             cut = np.flatnonzero(np.diff(cells)) + 1
             starts, ends = np.r_[0, cut], np.r_[cut, len(cells)]
-            out_a, out_b = [], []
-            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                for a, b in pairs(table.slice(s, e - s)):
-                    out_a += a
-                    out_b += b
-                    if len(out_a) > 50_000:
-                        yield _pairs(out_a, out_b)
-                        out_a, out_b = [], []
-            yield _pairs(out_a, out_b)
+            ids = table.column("rep").combine_chunks()
+            sizes, parts = table.column("n").to_numpy().astype(np.int64), table.column("part").to_numpy()
+            sketches = table.column("sketch").to_pylist()
+            large = ends - starts > TILE
+            for s, e in zip(starts[large].tolist(), ends[large].tolist()):
+                for i, j in tiled_pairs(sketches[s:e], sizes[s:e], parts[s:e], t):
+                    yield _pairs(ids, s + i, s + j)
+            # Small cells in turn, until their pairs fill some tiles.
+            pairs = np.where(large, 0, (ends - starts) * (ends - starts - 1) // 2)
+            group = np.cumsum(pairs) // (4 * TILE * TILE)
+            for g in np.unique(group):
+                mine = (group == g) & ~large & (pairs > 0)
+                if mine.any():
+                    rows = np.concatenate([np.arange(s, e) for s, e in zip(starts[mine], ends[mine])])
+                    until = np.cumsum(ends[mine] - starts[mine])
+                    i, j = small_tile([sketches[r] for r in rows], sizes[rows], parts[rows], np.r_[0, until[:-1]], until, t)
+                    yield _pairs(ids, rows[i], rows[j])
 
         for batch in batches:
             if not batch.num_rows:
@@ -267,28 +326,25 @@ def _compare(t: float):
     return run
 
 
-def _pairs(a: list, b: list) -> pa.RecordBatch:
-    low = [min(x, y) for x, y in zip(a, b)]
-    high = [max(x, y) for x, y in zip(a, b)]
-    return pa.RecordBatch.from_arrays([pa.array(low, pa.string()), pa.array(high, pa.string())], names=["a", "b"])
+def _pairs(ids: pa.Array, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
+    less = pc.less(a, b)
+    return pa.RecordBatch.from_arrays([pc.if_else(less, a, b), pc.if_else(less, b, a)], names=["a", "b"])
 
 
 def candidates(reps: DataFrame, t: float) -> DataFrame:
     """Distinct pairs (a, b) of representatives whose sketches are within the radius.
 
-    Sketches are shuffled once, to their cells. Buckets above HOT rows are
-    counted first; their list is sent to the tasks if it is short, and joined
-    otherwise.
+    Band keys are counted first, so that only rows that share a bucket are
+    shuffled with their sketches, each to its cells.
     """
-    spark = reps.sparkSession
-    rows = reps.select("rep", "n", "sketch", F.explode("bands").alias("band"))
-    hot = rows.groupBy("band").agg(F.count("*").alias("crowd")).where(f"crowd > {HOT}")
-    few = hot.limit(MAX_SENT + 1).collect()
-    if len(few) <= MAX_SENT:
-        hot = F.broadcast(spark.createDataFrame([(r.band, r.crowd) for r in few], "band long, crowd long"))
+    keys = reps.select("rep", F.explode("bands").alias("band"))
+    crowds = keys.groupBy("band").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    parts = F.ceil(F.col("crowd") / HOT).cast("int")
     split = (
-        (rows.join(hot, "band", "left") if few else rows.withColumn("crowd", F.lit(1)))
-        .withColumn("parts", F.coalesce(F.ceil(F.col("crowd") / HOT), F.lit(1)).cast("int"))
+        keys.join(crowds, "band")
+        .join(reps.select("rep", "n", "sketch"), "rep")
+        .withColumn("parts", parts)
         .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
@@ -309,22 +365,10 @@ def candidates(reps: DataFrame, t: float) -> DataFrame:
     )
 
 
-def verified(cand: DataFrame, docs: DataFrame, t: float) -> DataFrame:
+def verified(cand: DataFrame, sig: DataFrame, t: float) -> DataFrame:
     """Candidate pairs with their exact similarity, of at least ``t``: (a, b, similarity)."""
     ids = cand.select(F.col("a").alias("id")).union(cand.select("b")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
-        for batch in batches:
-            sets = [shingles(x).view(np.int64) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "runs"])
-
-    sets = (
-        docs.select("id", "text")
-        .join(ids, "id", "left_semi")
-        .dropDuplicates(["id"])
-        .mapInArrow(run, "id string, runs array<long>")
-    )
+    sets = sig.select("id", "runs").join(ids, "id", "left_semi")
     both = F.size(F.array_intersect("runs_a", "runs_b"))
     return (
         cand.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a")), "a")
@@ -342,14 +386,14 @@ def links(docs: DataFrame, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     same set of runs are one class, however many they are; no link between
     different classes is dropped.
     """
-    sig = signatures(docs).persist(StorageLevel.MEMORY_AND_DISK)
+    sig = signatures(docs, bands_for(t)).persist(StorageLevel.MEMORY_AND_DISK)
     keys = ["class_a", "class_b", "n"]
     first = sig.groupBy(*keys).agg(F.min("id").alias("rep"))
-    members = sig.select("id", *keys).join(first, keys).select("id", "rep")
-    reps = sig.join(first.select(F.col("rep").alias("id")), "id", "left_semi").withColumnRenamed("id", "rep")
+    members = sig.select("id", *keys).join(first, keys).select("id", "rep").persist(StorageLevel.MEMORY_AND_DISK)  # two ids a row, read several times
+    reps = sig.select("id", "n", "sketch", "bands").join(first.select(F.col("rep").alias("id")), "id", "left_semi").withColumnRenamed("id", "rep")
     # Read three times: for the ids, and for either side's sets.
     cand = candidates(reps, t).persist(StorageLevel.MEMORY_AND_DISK)
-    return members, verified(cand, docs, t)
+    return members, verified(cand, sig, t)
 
 
 def similar_pairs(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:

@@ -7,6 +7,22 @@ from millrace.llm import knn as K
 from millrace.llm import neardup as N
 
 
+def within(a: bytes, b: bytes, na: int, nb: int, t: float) -> bool:
+    """Whether two sketches are within the radius, in plain integers (the plain form that tiles are checked against)."""
+    if min(na, nb) < t * max(na, nb):
+        return False
+    most = int((1 - t) / (1 + t) * (na + nb) + 1e-9)
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    la, lb = len(a), len(b)
+    while la > lb:
+        la //= 2
+        x = (x >> (8 * la)) ^ (x & ((1 << (8 * la)) - 1))
+    while lb > la:
+        lb //= 2
+        y = (y >> (8 * lb)) ^ (y & ((1 << (8 * lb)) - 1))
+    return (x ^ y).bit_count() <= most
+
+
 def corpus(seed=1, base=25, copies=4):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
@@ -72,7 +88,7 @@ def test_tiles_find_what_plain_comparison_finds():
     sh = N.Shingler()
     sets = [sh(t) for t in corpus(3, 12, 3)]
     sk, n = [N.odd_sketch(s) for s in sets], np.array([len(s) for s in sets])
-    want = {(i, j) for i in range(len(sk)) for j in range(i + 1, len(sk)) if N._within(sk[i], sk[j], int(n[i]), int(n[j]), 0.7)}
+    want = {(i, j) for i in range(len(sk)) for j in range(i + 1, len(sk)) if within(sk[i], sk[j], int(n[i]), int(n[j]), 0.7)}
     got = {(min(i, j), max(i, j)) for a, b in N.tiled_pairs(sk, n, np.zeros(len(sk), int), 0.7) for i, j in zip(a.tolist(), b.tolist())}
     assert got == want
     parts = np.arange(len(sk)) % 2
@@ -80,6 +96,31 @@ def test_tiles_find_what_plain_comparison_finds():
     assert across == {(i, j) for i, j in want if parts[i] != parts[j]}
 
 
+def test_small_buckets_make_up_one_tile():
+    sh = N.Shingler()
+    sets = [sh(t) for t in corpus(5, 12, 3)] + [sh("only five words are here")]
+    sk, n = [N.odd_sketch(s) for s in sets], np.array([len(s) for s in sets])
+    starts, ends = np.array([0, 1, 3, 20, 20]), np.array([1, 3, 20, 20, 49])
+    parts = np.zeros(len(sk), int)
+    parts[25:40] = 1
+    want = {
+        (i, j)
+        for s, e in zip(starts.tolist(), ends.tolist())
+        for i in range(s, e)
+        for j in range(i + 1, e)
+        if within(sk[i], sk[j], int(n[i]), int(n[j]), 0.5) and (s != 20 or parts[i] != parts[j])
+    }
+    i, j = N.small_tile(sk, n, parts, starts, ends, 0.5)
+    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
+
+
+def test_bands_follow_the_threshold(spark):
+    assert N.bands_for(0.7) == 24 and N.bands_for(0.4) > 100 and N.bands_for(1.0) == 1
+    texts = corpus(9, 6, 3)
+    got = {(int(r.id_a[1:]), int(r.id_b[1:])) for r in N.similar_pairs(frame(spark, texts), 0.4).collect()}
+    assert {(min(p), max(p)) for p in got} == brute(texts, 0.4)
+
+
 def vectors(n=900, d=16, seed=4):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, d)).astype(np.float32) * rng.uniform(0.1, 9, (n, 1)).astype(np.float32)
