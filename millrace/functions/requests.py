@@ -133,6 +133,35 @@ def progress(kind: Column, line: Column) -> Column:
     )
 
 
+def lsh_miss(similarity: Column, bands: int = 16, rows: int = 4) -> Column:
+    """Probability that a pair of this similarity shares no band of a min-hash index."""
+    return F.pow(1 - F.pow(similarity, F.lit(float(rows))), F.lit(float(bands)))
+
+
+def level_draw(key: Column, scale: float, seed: int = 0) -> Column:
+    """Geometric level of an item in a layered graph: floor(-ln u * scale), u from a hash of the key, so it is repeatable."""
+    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
+    return F.floor(-F.log(u) * scale).cast("int")
+
+
+def key_variable(key: Column, routes: list[tuple[str, str]], default: str) -> Column:
+    """The variable that a key belongs to by the first prefix it begins with."""
+    return F.coalesce(*[F.when(F.startswith(key, F.lit(p)), F.lit(v)) for p, v in routes], F.lit(default))
+
+
+def month_key(at: Column) -> Column:
+    """``yyyy-MM`` in UTC of seconds since 1970, whatever the session's time zone."""
+    days = F.date_add(F.to_date(F.lit("1970-01-01")), F.floor(at / 86400).cast("int"))
+    return F.date_format(days, "yyyy-MM")
+
+
+def iso_utc(at: Column) -> Column:
+    """ISO text in UTC of seconds since 1970."""
+    days, rest = F.date_add(F.to_date(F.lit("1970-01-01")), F.floor(at / 86400).cast("int")), F.pmod(F.floor(at).cast("long"), F.lit(86400))
+    clock = F.format_string("%02d:%02d:%02d", (rest / 3600).cast("int"), (F.pmod(rest, F.lit(3600)) / 60).cast("int"), F.pmod(rest, F.lit(60)).cast("int"))
+    return F.concat(F.date_format(days, "yyyy-MM-dd"), F.lit("T"), clock, F.lit("+00:00"))
+
+
 def context(hits: Column) -> Column:
     """Numbered passages from an array of (doc, heading, text)."""
     part = lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] ("), h["doc"], F.lit(" · "), h["heading"], F.lit(")\n"), h["text"])

@@ -208,9 +208,13 @@ def stem(t: Column) -> Column:
     )
 
 
+#: Fixed value: a search token of a lower-case text.
+TOKEN = "[a-z0-9$%][a-z0-9._%]*"
+
+
 def tokens(c: Column) -> Column:
     """Stemmed lower-case search tokens of a text, in order."""
-    return F.transform(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9$%][a-z0-9._%]*)")), stem)
+    return F.transform(F.regexp_extract_all(F.lower(c), F.lit(f"({TOKEN})")), stem)
 
 
 def shingles(c: Column, k: int = 5) -> Column:

@@ -30,6 +30,11 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(n > 0, 1.0 - dot(a, b) / n).otherwise(1.0)
 
 
+def clipped_cosine(a: Column, b: Column, least: float = 1e-9) -> Column:
+    """Cosine with each norm taken as ``least`` at the smallest: a zero vector has similarity 0."""
+    return dot(a, b) / (F.greatest(norm(a), F.lit(least)) * F.greatest(norm(b), F.lit(least)))
+
+
 def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(_d(a), _d(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 

@@ -34,13 +34,13 @@ def greedy(docs: DataFrame, usable: int) -> DataFrame:
     Groups are streamed in order, none is collected.
     """
     order = docs.withColumn("o", -F.col("score"))
-    return fold(order, "grp", ["o", "id"], dict, _step(usable, True), [("reason", "string"), ("used", "int")]).drop("o")
+    return fold(order, "grp", ["o", "id"], dict, _step(usable, True), [("reason", "string"), ("used", "int")], ["cost"]).drop("o")
 
 
 def density(docs: DataFrame, usable: int) -> DataFrame:
     """Highest score per character first, otherwise like :func:`greedy`."""
     order = docs.withColumn("o", -F.col("score") / F.greatest(F.col("chars"), F.lit(1)))
-    return fold(order, "grp", ["o", "id"], dict, _step(usable, False), [("reason", "string"), ("used", "int")]).drop("o")
+    return fold(order, "grp", ["o", "id"], dict, _step(usable, False), [("reason", "string"), ("used", "int")], ["cost"]).drop("o")
 
 
 def exact(docs: DataFrame, usable: int) -> DataFrame:

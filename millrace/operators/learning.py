@@ -2,55 +2,26 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import scrub, vectors
 from millrace.functions import text as X
+from millrace.operators import annindex, minhash
+from millrace.session import scratch
 
-#: Rows that the centres of the lists are fitted on, at most; every row is indexed.
-CENTRE_SAMPLE = 20_000
+def inverted_lists(points: DataFrame, queries: DataFrame, k: int = 10, lists: int = 32, probes: int = 12) -> DataFrame:
+    """Approximate cosine neighbours through an index in the shared folder: (query, id, distance, rank).
 
-
-def inverted_lists(points: DataFrame, queries: DataFrame, k: int = 10, lists: int = 32, probes: int = 12, steps: int = 8) -> DataFrame:
-    """Approximate cosine neighbours: (query, id, distance, rank).
-
-    Centres come from a few rounds of k-means on a bounded draw (the rows whose
-    hash is smallest). Every point goes to the list of its nearest centre, a
-    query to its ``probes`` nearest ones; there distances are exact. Vectors
-    that are null, not finite or zero take no part; all have one length.
+    Vectors that are null, not finite or zero take no part; all have one length. See ``annindex``.
     """
-    ok = vectors.finite(F.col("vec")) & F.exists("vec", lambda x: x != 0)
-    p, q = points.where(ok), queries.where(ok)
-    drawn = p.select("vec").orderBy(F.xxhash64("id"), "id").limit(CENTRE_SAMPLE).collect()
-    schema = T.ArrayType(T.IntegerType())
-    if drawn:
-        x = np.array([r.vec for r in drawn], np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        centres = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
-        for _ in range(steps):
-            own = (x @ centres.T).argmax(axis=1)
-            centres = np.array([x[own == j].mean(axis=0) if (own == j).any() else c for j, c in enumerate(centres)])
-            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    else:
-        centres = np.zeros((1, 1))
-
-    def nearest(n: int):
-        @F.pandas_udf(schema)
-        def f(vecs: pd.Series) -> pd.Series:
-            v = np.stack(vecs.to_numpy()).astype(np.float64)
-            return pd.Series(list(np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)))
-
-        return f
-
-    a = p.select("id", "vec", F.explode(nearest(1)("vec")).alias("list"))
-    b = q.select(F.col("id").alias("query"), F.col("vec").alias("qv"), F.explode(nearest(probes)("vec")).alias("list"))
-    near = b.join(a, "list").select("query", "id", F.round(vectors.cosine_distance(F.col("qv"), F.col("vec")), 9).alias("distance"))
-    w = Window.partitionBy("query").orderBy("distance", "id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    spark = points.sparkSession
+    if points.where(vectors.finite(F.col("vec")) & F.exists("vec", lambda x: x != 0)).limit(1).count() == 0:
+        kinds = f"query {queries.schema['id'].dataType.simpleString()}, id {points.schema['id'].dataType.simpleString()}, distance double, rank int"
+        return spark.createDataFrame([], kinds)
+    return annindex.build(points, scratch(spark, "lists"), lists).search(queries, k, probes)
 
 
 def train_classifier(rows: DataFrame, hidden: int = 8, classes: int = 2, seed: int = 7, rounds: int = 100):
@@ -70,8 +41,17 @@ def accuracy(predicted: DataFrame) -> DataFrame:
     return predicted.agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("prediction")).cast("int")), 6).alias("accuracy"))
 
 
+#: The tools of the catalogue: name, description, parameters.
+TOOLS = (
+    ("scrub_pii", "Redact personal data and secrets in a text.", {"text": "str"}),
+    ("quality_score", "Score and verdict of a text.", {"text": "str"}),
+    ("corpus_stats", "Characters, words, distinct words, lines and fingerprint of a text.", {"text": "str"}),
+    ("dedupe_corpus", "Clusters of near duplicates in a table.", {"table": "str", "threshold": "float"}),
+)
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Make the column functions available to SQL: scrub_pii(text), keep_text(text)."""
+    """Make functions available to SQL: scrub_pii(text), word_count(text). More: :func:`register_stats`, :func:`dedupe_view`, :func:`quality_view`."""
 
     def kept(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: scrub.scrub_one(t)[0])
@@ -81,6 +61,26 @@ def register(spark: SparkSession) -> list[str]:
     return ["scrub_pii", "word_count"]
 
 
+def register_stats(spark: SparkSession) -> list[str]:
+    """Make corpus_stats(text) available to SQL."""
+    words = "regexp_extract_all(lower(t), '([a-z0-9_]+)')"
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION corpus_stats(t STRING) RETURNS STRUCT<chars: INT, words: INT, unique_words: INT, md5: STRING> "
+        f"RETURN named_struct('chars', length(t), 'words', size({words}), 'unique_words', size(array_distinct({words})), 'md5', md5(t))"
+    )
+    return ["corpus_stats"]
+
+
+def dedupe_view(spark: SparkSession, table: str, view: str, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> None:
+    """The table function of deduplication: a temporary view (key, cluster_id, representative) over a table or view."""
+    minhash.cluster(minhash.signatures(spark.table(table), "b", text, key), threshold).createOrReplaceTempView(view)
+
+
+def quality_view(spark: SparkSession, table: str, view: str, key: str = "doc_id", text: str = "text") -> None:
+    """A temporary view (key, score, verdict, reasons) of the quality gate over a table or view."""
+    spark.table(table).select(key, X.quality_b(F.col(text)).alias("q")).select(key, "q.*").createOrReplaceTempView(view)
+
+
 def distill(replies: DataFrame) -> DataFrame:
     """replies (story, grade) that pass the story gate and whose last verdict is PASS."""
     from millrace.functions.requests import story_gate

@@ -12,64 +12,102 @@ from pyspark.sql import functions as F
 from millrace.functions import vectors as V
 from millrace.tables import bounded
 
-#: Query vectors at most for the blocked scan; they are shipped to every task (25 MB for 64 numbers each).
-MAX_QUERIES = 50_000
-#: Model tiers of the routing queries, cheapest first.
-PREMIUM = "premium"
+#: Query vectors of one pass over the points (they are shipped to every task), and of one block of distances.
+PER_PASS, PER_BLOCK = 20_000, 256
+
+
+class Nearest:
+    """The ``k`` nearest points of every row of a query matrix among all points shown so far; ties go to the lower id."""
+
+    def __init__(self, q: np.ndarray, k: int, metric: str):
+        self.q, self.k, self.metric = q, k, metric
+        self.norms = np.sqrt((q * q).sum(axis=1))
+        self.held: list[tuple] = []
+        self.n = 0
+
+    def distances(self, q: np.ndarray, norms: np.ndarray, x: np.ndarray) -> np.ndarray:
+        dots = q @ x.T
+        if self.metric == "ip":
+            out = -dots
+        elif self.metric == "l2":
+            out = np.maximum(0.0, (norms**2)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * dots)
+        else:
+            n = norms[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+            out = np.where(n > 0, 1 - dots / np.where(n > 0, n, 1), 1.0)
+        return np.round(out, 9) + 0.0  # no negative zero
+
+    def show(self, ids: np.ndarray, x: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Points and, if not all, the rows of the queries that look at them."""
+        rows = np.arange(len(self.q)) if rows is None else rows
+        for a in range(0, len(rows), PER_BLOCK):
+            at = rows[a : a + PER_BLOCK]
+            d = self.distances(self.q[at], self.norms[at], x)
+            most = np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k] if d.shape[1] > self.k else np.full((len(at), 1), np.inf)
+            i, j = np.nonzero(d <= most)
+            self.held.append((at[i], d[i, j], ids[j]))
+            self.n += len(i)
+        if self.n > 8 * self.k * max(1, len(self.q)):
+            self.held = [self.best()]
+            self.n = len(self.held[0][0])
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, distance, id), at most ``k`` of a row."""
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        row, d, ids = (np.concatenate(c) for c in zip(*self.held))
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids, d, row))
+        row, d, ids = row[order], d[order], ids[order]
+        first = np.searchsorted(row, row)
+        keep = np.arange(len(row)) - first < self.k
+        return row[keep], d[keep], ids[keep]
+
+
+def blocks_of(queries: DataFrame, columns: list[str]) -> Iterator[list]:
+    """The rows of a stated query set, block by block of a checked size."""
+    n = queries.count()
+    blocks = max(1, -(-n // PER_PASS))
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        yield bounded(part.select(*columns), 2 * PER_PASS, "queries of one block")
 
 
 def exact(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
     """The ``k`` nearest points of every query by a blocked scan: (query, id, distance, rank).
 
-    points and queries are (id, vec). Queries are a stated set whose size is
-    checked; each task multiplies its points with all of them and keeps its own
-    ``k`` best per query, so only ``k`` rows per query and task are shuffled.
-    Vectors that are null, of another length than the query or not finite take no
-    part. A zero vector has cosine distance 1. Ties go to the lower id.
+    points and queries are (id, vec). Queries go over the points block by block;
+    each task multiplies its points with a block and keeps its own ``k`` best per
+    query, so only ``k`` rows per query and task are shuffled. Vectors that are
+    null, of another length than the query or not finite take no part. A zero
+    vector has cosine distance 1. Ties go to the lower id.
     """
     if metric not in V.METRICS:
         raise ValueError(f"unknown metric {metric}")
-    rows = bounded(queries.select("id", F.col("vec").cast("array<double>").alias("vec")).where(V.finite(F.col("vec"))), MAX_QUERIES, "queries")
-    shipped = points.sparkSession.sparkContext.broadcast(
-        {d: ([r.id for r in rows if len(r.vec) == d], np.array([r.vec for r in rows if len(r.vec) == d])) for d in {len(r.vec) for r in rows}}
-    )
     kind, asked = points.schema["id"].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
     arrow_ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}
-        for batch in batches:
-            sizes = batch.column("size").to_numpy()
-            for d, (ids, q) in shipped.value.items():
-                part = batch.filter(pa.array(sizes == d))
-                if not part.num_rows:
-                    continue
-                x = part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                keys = part.column("id").to_numpy(zero_copy_only=False)
-                dots = q @ x.T
-                if metric == "ip":
-                    dist = -dots
-                elif metric == "l2":
-                    dist = np.maximum(0.0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * dots)
-                else:
-                    n = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
-                    dist = np.where(n > 0, 1 - dots / np.where(n > 0, n, 1), 1.0)
-                # Slightly more than k by value, then exactly k by (distance, id).
-                keep = dist <= np.partition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, min(k, dist.shape[1]) - 1][:, None]
-                for i, j in zip(*np.nonzero(keep)):
-                    best.setdefault((d, int(i)), []).append((float(dist[i, j]), keys[j]))
-                for key in {(d, int(i)) for i in np.nonzero(keep)[0]}:
-                    if len(best[key]) > 4 * k:
-                        best[key] = sorted(best[key])[:k]
-        out = [(shipped.value[d][0][i], p, v) for (d, i), found in best.items() for v, p in sorted(found)[:k]]
-        cols = list(zip(*out)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], arrow_ids[asked]), pa.array(cols[1], arrow_ids[kind]), pa.array(cols[2], pa.float64())],
-            names=["query", "id", "distance"],
-        )
-
     good = points.select("id", F.col("vec").cast("array<double>").alias("vec")).where(V.finite(F.col("vec"))).withColumn("size", F.size("vec"))
-    near = good.mapInArrow(run, f"query {asked}, id {kind}, distance double").withColumn("distance", F.round("distance", 9))
+    near = None
+    for rows in blocks_of(queries.select("id", F.col("vec").cast("array<double>").alias("vec")).where(V.finite(F.col("vec"))), ["id", "vec"]):
+        by = {d: [r for r in rows if len(r.vec) == d] for d in {len(r.vec) for r in rows}}
+        shipped = points.sparkSession.sparkContext.broadcast({d: ([r.id for r in some], np.array([r.vec for r in some])) for d, some in by.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            found = {d: Nearest(q, k, metric) for d, (_, q) in shipped.value.items()}
+            for batch in batches:
+                sizes = batch.column("size").to_numpy()
+                for d, top in found.items():
+                    part = batch.filter(pa.array(sizes == d))
+                    if part.num_rows:
+                        top.show(part.column("id").to_numpy(zero_copy_only=False), part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+            for d, top in found.items():
+                row, dist, ids = top.best()
+                names = shipped.value[d][0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[i] for i in row.tolist()], arrow_ids[asked]), pa.array(ids, arrow_ids[kind]), pa.array(dist, pa.float64())],
+                    names=["query", "id", "distance"],
+                )
+
+        one = good.mapInArrow(run, f"query {asked}, id {kind}, distance double")
+        near = one if near is None else near.unionByName(one)
     w = Window.partitionBy("query").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -105,6 +143,13 @@ def route(near: DataFrame, outcomes: DataFrame, tiers: DataFrame, floor: float =
     )
 
 
+def with_feedback(outcomes: DataFrame, new: DataFrame) -> DataFrame:
+    """Outcomes (id, model, passed) with new ones appended; a later outcome of the same id and model replaces the earlier one."""
+    both = outcomes.withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
+    last = both.groupBy("id", "model").agg(F.max(F.struct("turn", "passed")).alias("x"))
+    return last.select("id", "model", "x.passed")
+
+
 def ledger(routed: DataFrame) -> DataFrame:
     """Calls and savings per model."""
     return routed.groupBy("model").agg(F.count("*").alias("calls"), F.round(F.sum("saved"), 6).alias("saved"))
@@ -171,3 +216,10 @@ def calibrate(cells: DataFrame, floor: float = 0.95) -> DataFrame:
     ok = F.struct((F.col("agreement") < floor).alias("short"), "bytes", (-F.col("agreement")).alias("loss"), "ord", "mode", "agreement")
     best = tried.groupBy("tensor").agg(F.min(ok).alias("b"))
     return best.select("tensor", "b.mode", "b.bytes", "b.agreement")
+
+
+def saved_bytes(chosen: DataFrame, cells: DataFrame) -> DataFrame:
+    """Totals over all tensors: bytes as 32-bit numbers, bytes quantised, and the ratio (0 without bytes)."""
+    before = cells.groupBy("tensor").agg((F.count("*") * 4).alias("was"))
+    sums = before.join(chosen.select("tensor", "bytes"), "tensor").agg(F.coalesce(F.sum("was"), F.lit(0)).alias("was"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    return sums.withColumn("ratio", F.round(F.coalesce(F.try_divide("was", "bytes"), F.lit(0.0)), 4))

@@ -11,38 +11,41 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from millrace.functions.text import bind
 
-def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], dict], fields: list[tuple[str, str]]) -> DataFrame:
+
+def fold(
+    df: DataFrame, key: str, order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], dict], fields: list[tuple[str, str]], reads: list[str]
+) -> DataFrame:
     """``df`` with the columns ``fields`` (name, type) that ``step(state, row)`` gives for each row in order.
 
+    ``row`` holds the columns ``reads``; all others pass through as Arrow data.
     Rows without a key form a key of their own. Ties of ``order`` must be broken
     by its last column. Columns of ``df`` that carry the new names are replaced.
     """
     names = [n for n, _ in fields]
     base = df.drop(*names)
-    # Only what the step needs would be enough; all columns pass through so that results can be joined to nothing.
     schema = T.StructType([*base.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in fields]])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), {}
         for batch in batches:
-            cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            keys = cols[key]
+            keys = batch.column(key).to_pylist()
+            cols = [batch.column(n).to_pylist() for n in reads]
             out: list[dict] = []
-            for i in range(batch.num_rows):
-                if keys[i] != last:
-                    last, state = keys[i], start()
-                out.append(step(state, {n: c[i] for n, c in cols.items()}))
+            for k, values in zip(keys, zip(*cols) if cols else ((),) * len(keys)):
+                if k != last:
+                    last, state = k, start()
+                out.append(step(state, dict(zip(reads, values))))
             new = [pa.array([o[n] for o in out], arrow.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow)), *new], schema=arrow)
 
@@ -124,30 +127,53 @@ def replay_step(ttl_s: float = 600.0):
 def quarantine_step(limit: int = 3):
     """Violations in a row are collected and cleared by a success; at ``limit`` the provider is quarantined for good.
 
-    Malformed bodies are recorded but don't trigger quarantine by themselves.
+    A quarantined provider's calls are refused before anything is recorded, so
+    its violations stay what they were. Malformed bodies are recorded but don't
+    trigger quarantine by themselves.
     """
 
     def step(s: dict, r: dict) -> dict:
-        if not s:
-            s.update(run=0, shut=False)
-        kind = r["violation"]
-        s["run"] = 0 if kind is None else s["run"] + 1
-        if s["run"] >= limit and kind != "malformed":
-            s["shut"] = True
-        return {"violations": s["run"], "quarantined": s["shut"]}
+        kind, shut, run = r["violation"], s.get("shut", False), s.get("run", 0)
+        if not shut:
+            run = 0 if kind is None else run + 1
+            s.update(run=run, shut=run >= limit and kind is not None and kind != "malformed")
+        return {"violations": run, "quarantined": s["shut"], "refused": shut}
 
     return step
 
 
+def violation(body: Column, latency_ms: Column, input_chars: Column, keys: tuple[str, ...], least: float, most: float, max_latency_ms: float) -> Column:
+    """First violation of a provider's reply: malformed, missing_keys, token_usage_sanity or latency_outlier; null if none.
+
+    The token ratio is judged only where characters and tokens are known.
+    """
+
+    def judge(v: Column) -> Column:
+        get = lambda path, kind="variant": F.try_variant_get(v, path, kind)
+        tokens = F.coalesce(get("$.usage.prompt_tokens", "double"), F.lit(0.0)) + F.coalesce(get("$.usage.completion_tokens", "double"), F.lit(0.0))
+        ratio = tokens / F.greatest(input_chars, F.lit(1))
+        lacking = F.lit(False)
+        for k in keys:
+            lacking = lacking | get(f"$.{k}").isNull()
+        return (
+            F.when(v.isNull(), "malformed")
+            .when(lacking, "missing_keys")
+            .when((input_chars > 0) & (tokens > 0) & ~ratio.between(least, most), "token_usage_sanity")
+            .when(latency_ms > max_latency_ms, "latency_outlier")
+        )
+
+    return bind(F.try_parse_json(body), judge)
+
+
 def cache_step(ttl_s: float = 300.0, maxsize: int = 128):
     """A cache with time to live: older than it is a miss; when full an expired entry goes, else the least recently used."""
 
     def step(s: dict, r: dict) -> dict:
-        c: OrderedDict = s.setdefault("entries", OrderedDict())
+        c: dict = s.setdefault("entries", {})  # the least recently used first
         k, at = r["request"], r["at"]
         if k in c:
             if at - c[k] <= ttl_s * 1e6:
-                c.move_to_end(k)
+                c[k] = c.pop(k)
                 return {"hit": True, "size": len(c)}
             del c[k]
         if len(c) >= maxsize:
@@ -170,17 +196,6 @@ def chain_step(secret: bytes):
     return step
 
 
-def robin_step(weights: list[tuple[str, int]]):
-    """Weighted round robin over names; weights are whole numbers."""
-    turns = [n for n, w in weights for _ in range(w)]
-
-    def step(s: dict, r: dict) -> dict:
-        s["next"] = (s.get("next", -1) + 1) % len(turns)
-        return {"provider": turns[s["next"]]}
-
-    return step
-
-
 def lcg_step(options: list[tuple[str, float]], seed: int = 20260923):
     """Fault scheduler: one roll per option until one fires; a linear congruence keeps runs repeatable."""
 
@@ -207,54 +222,62 @@ def with_micros(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 def token_bucket(events: DataFrame, key: str, order: list[str], capacity: float = 60, refill: float = 1.0) -> DataFrame:
     """Events with ``allowed`` and the tokens left; needs a column ``at`` in microseconds."""
-    return fold(events, key, order, dict, bucket_step(capacity, refill), [("allowed", "boolean"), ("tokens", "double")])
+    return fold(events, key, order, dict, bucket_step(capacity, refill), [("allowed", "boolean"), ("tokens", "double")], ["at"])
 
 
 def budget(events: DataFrame, key: str, order: list[str], limit: float | None) -> DataFrame:
     """Events with ``accepted`` and what is spent after each; needs a column ``cost``."""
-    return fold(events, key, order, dict, budget_step(limit), [("accepted", "boolean"), ("spent", "double")])
+    return fold(events, key, order, dict, budget_step(limit), [("accepted", "boolean"), ("spent", "double")], ["cost"])
 
 
 def breaker(events: DataFrame, key: str, order: list[str], threshold: int = 3, cooldown_s: float = 30.0) -> DataFrame:
     """Events with ``called``, the breaker's state after each and the failures in a row; needs ``failed`` and ``at``."""
-    return fold(events, key, order, dict, breaker_step(threshold, cooldown_s), [("called", "boolean"), ("state", "string"), ("failures", "int")])
+    fields = [("called", "boolean"), ("state", "string"), ("failures", "int")]
+    return fold(events, key, order, dict, breaker_step(threshold, cooldown_s), fields, ["failed", "at"])
 
 
 def replay(events: DataFrame, key: str, order: list[str], ttl_s: float = 600.0) -> DataFrame:
     """Events with ``passed``: not a repeat of its key within the time to live."""
-    return fold(events, key, order, dict, replay_step(ttl_s), [("passed", "boolean")])
+    return fold(events, key, order, dict, replay_step(ttl_s), [("passed", "boolean")], ["at"])
 
 
 def quarantine(events: DataFrame, key: str, order: list[str], limit: int = 3) -> DataFrame:
-    return fold(events, key, order, dict, quarantine_step(limit), [("violations", "int"), ("quarantined", "boolean")])
+    """Events with violations in a row, whether the provider is quarantined, and whether the call was refused; needs ``violation``."""
+    fields = [("violations", "int"), ("quarantined", "boolean"), ("refused", "boolean")]
+    return fold(events, key, order, dict, quarantine_step(limit), fields, ["violation"])
 
 
 def ttl_cache(events: DataFrame, key: str, order: list[str], ttl_s: float = 300.0, maxsize: int = 128) -> DataFrame:
     """Events with ``hit`` and the size of their key's cache; needs ``request`` and ``at``."""
-    return fold(events, key, order, dict, cache_step(ttl_s, maxsize), [("hit", "boolean"), ("size", "int")])
+    return fold(events, key, order, dict, cache_step(ttl_s, maxsize), [("hit", "boolean"), ("size", "int")], ["request", "at"])
 
 
 def signature_chain(events: DataFrame, key: str, order: list[str], secret: bytes) -> DataFrame:
-    return fold(events, key, order, dict, chain_step(secret), [("signature", "string")])
+    """Events with ``signature``: each covers the one before it of its key; needs ``body``."""
+    return fold(events, key, order, dict, chain_step(secret), [("signature", "string")], ["body"])
 
 
-def round_robin(events: DataFrame, key: str, order: list[str], weights: list[tuple[str, int]]) -> DataFrame:
-    return fold(events, key, order, dict, robin_step(weights), [("provider", "string")])
+def round_robin(events: DataFrame, key: str, order: list[str], weights: list[tuple[str, int]], exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Events with ``provider``: names take turns by their whole-number weights, excluded ones never; without any left it is null."""
+    turns = [n for n, w in weights for _ in range(w) if n not in exclude]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    return events.withColumn("provider", F.get(F.array(*map(F.lit, turns)), place % len(turns)) if turns else F.lit(None).cast("string"))
 
 
 def fault_schedule(calls: DataFrame, key: str, order: list[str], options: list[tuple[str, float]], seed: int = 20260923) -> DataFrame:
-    return fold(calls, key, order, dict, lcg_step(options, seed), [("fault", "string"), ("rolls", "int")])
+    """Calls with the fault that fires, if any, and the rolls it took."""
+    return fold(calls, key, order, dict, lcg_step(options, seed), [("fault", "string"), ("rolls", "int")], [])
 
 
-def failover(attempts: DataFrame, max_retries: int = 2) -> DataFrame:
-    """Outcome of each request over its candidates in (priority, provider) order.
+def failover(attempts: DataFrame, max_retries: int = 2, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Outcome of each request over its candidates in (priority, provider) order, excluded ones never tried.
 
     attempts: (request, priority, provider, attempt, ok). Of each candidate the
     first ``max_retries + 1`` attempts count; the first success serves. Gives
     (request, served_by, tries, backoff_s), the back-off being 0.25 * 2 ** attempt
     after each failure but a candidate's last.
     """
-    used = attempts.where(F.col("attempt") <= max_retries)
+    used = attempts.where((F.col("attempt") <= max_retries) & ~F.col("provider").isin(*exclude)) if exclude else attempts.where(F.col("attempt") <= max_retries)
     first = F.min(F.when(F.col("ok"), F.struct("priority", "provider", "attempt")))
     won = used.groupBy("request").agg(first.alias("won"))
     spot = F.struct("priority", "provider", "attempt")
@@ -276,21 +299,58 @@ def quota(used: DataFrame, plans: DataFrame, default: int = 100) -> DataFrame:
     return used.join(plans, "plan", "left").withColumn("quota", q).withColumn("remaining", F.greatest(F.col("quota") - F.col("used"), F.lit(0)))
 
 
+#: Accuracy of the first pass of :func:`quantiles`, and how many of its steps the second pass looks at on either side.
+SKETCH, AROUND = 1_000, 3
+
+
 def quantiles(df: DataFrame, group: str, value: str, ps: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Three index quantiles per group and p: sorted[int(n * p)], and nearest rank ceil(p * n); value 0 and null are left out.
+    """Index quantiles per group and p: sorted[int(n * p)], and nearest rank ceil(p * n); value 0 and null are left out.
 
-    Ranks come from a window over (group, value), so no group is collected into an array.
+    Exact, in two passes without sorting a group: a sketch brackets every
+    quantile, then values within the brackets are counted one by one and those
+    below them together. A group of n rows leaves about 6 n / 1000 values per p.
     """
-    from pyspark.sql import Window
-
     rows = df.select(F.col(group).alias("g"), F.col(value).alias("v")).where("v is not null and v <> 0")
-    w = Window.partitionBy("g").orderBy("v")
-    n = rows.groupBy("g").agg(F.count("*").alias("n"))
-    ranked = rows.withColumn("r", F.row_number().over(w)).join(n, "g")
+    ends = [min(1.0, max(0.0, p + d * AROUND / SKETCH)) for p in ps for d in (-1, 1)]
+    sketch = rows.groupBy("g").agg(
+        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", ends, SKETCH).alias("ends")
+    )
+    # The ends of the range hold for quantiles near 0 and 1.
+    each = [
+        F.struct(
+            F.lit(i).alias("i"),
+            (F.col("low") if ends[2 * i] == 0 else F.col("ends")[2 * i]).alias("a"),
+            (F.col("high") if ends[2 * i + 1] == 1 else F.col("ends")[2 * i + 1]).alias("b"),
+        )
+        for i in range(len(ps))
+    ]
+    bounds = sketch.select("g", "n", F.array(*each).alias("each"))
+    near = rows.join(F.broadcast(bounds) if _few(bounds) else bounds, "g").select("g", "n", "v", F.explode("each").alias("e")).where(F.col("v") <= F.col("e.b"))
+    # Values below a bracket count as one value that is never taken.
+    spot = F.when(F.col("v") >= F.col("e.a"), F.col("v"))
+    counted = near.groupBy("g", "n", F.col("e.i").alias("i"), spot.alias("v")).agg(F.count("*").alias("c"))
+    until = F.sum("c").over(Window.partitionBy("g", "i").orderBy(F.asc_nulls_first("v")))
+    counted = counted.withColumn("until", until).withColumn("before", F.col("until") - F.col("c"))
     aggs = [F.first("n").alias("n")]
-    for p in ps:
+    for i, p in enumerate(ps):
         tag = f"p{round(p * 100)}"
-        at = F.least(F.floor(F.col("n") * p) + 1, F.col("n"))
-        aggs.append(F.max(F.when(F.col("r") == at, F.col("v"))).alias(f"{tag}_index"))
-        aggs.append(F.max(F.when(F.col("r") == F.greatest(F.ceil(F.col("n") * p), F.lit(1)), F.col("v"))).alias(f"{tag}_nearest"))
-    return ranked.groupBy(F.col("g").alias(group)).agg(*aggs)
+        for at, name in ((F.least(F.floor(F.col("n") * p) + 1, F.col("n")), "index"), (F.greatest(F.ceil(F.col("n") * p), F.lit(1)), "nearest")):
+            aggs.append(F.max(F.when((F.col("i") == i) & (at > F.col("before")) & (at <= F.col("until")), F.col("v"))).alias(f"{tag}_{name}"))
+    return counted.groupBy(F.col("g").alias(group)).agg(*aggs)
+
+
+def _few(df: DataFrame, limit: int = 100_000) -> bool:
+    """Whether a table has at most ``limit`` rows, so that it may be sent to every task."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def trace_stats(traces: DataFrame, last: int = 200, latency: str = "latency_ms") -> DataFrame:
+    """Of the latest ``last`` traces (by id): count, p50 and p95 latency by index, token sum and cost sum to 4 places.
+
+    Latencies that are 0 or null are left out of the quantiles. No traces give one row of zeros and nulls.
+    """
+    recent = traces.orderBy(F.desc("id")).limit(last)
+    v = F.array_sort(F.filter(F.collect_list(latency), lambda x: x != 0))  # at most ``last`` values
+    at = lambda p: F.get(F.col("v"), F.floor(F.size("v") * p).cast("int"))
+    sums = recent.agg(v.alias("v"), F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 4).alias("cost"))
+    return sums.select("n", at(0.5).alias("p50"), at(0.95).alias("p95"), "tokens", "cost")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("references", "cleaning", "retrieval", "state", "textops", "relational")
+MODULES = ("references", "cleaning", "retrieval", "state", "textops", "relational", "accounts", "replays")
 
 
 def registries() -> list:

@@ -123,12 +123,12 @@ def corpus_verdicts(spark, where):
 @R.query(
     "corpus_funnel",
     _VERDICTS + """, r AS (SELECT CASE stage WHEN 'normalize' THEN 0 WHEN 'language' THEN 1 WHEN 'quality' THEN 2 WHEN 'exact-dedup' THEN 3 ELSE 5 END AS k FROM v)
-    SELECT i AS ord, ['input', 'after-normalize', 'after-language', 'after-quality', 'after-exact-dedup', 'after-near-dedup'][i + 1] AS stage,
-      (SELECT count(*) FROM r WHERE k >= i) AS n FROM range(6) t(i)""",
+    SELECT i AS ord, ['input', 'after-normalize', 'after-language', 'after-quality', 'after-exact-dedup'][i + 1] AS stage,
+      (SELECT count(*) FROM r WHERE k >= i) AS n FROM range(5) t(i)""",
 )
 def corpus_funnel(spark, where):
     """Survivors after each stage, without the stages that SQL can't express."""
-    return C.funnel(_verdicts(spark, where))
+    return C.funnel(_verdicts(spark, where)).where("stage <> 'after-near-dedup'")
 
 
 @R.query("corpus_drops", _VERDICTS + " SELECT stage, count(*) AS n FROM v WHERE stage IS NOT NULL GROUP BY 1")
@@ -136,16 +136,32 @@ def corpus_drops(spark, where):
     return C.drops(_verdicts(spark, where))
 
 
+def _full(spark, where):
+    return C.verdicts(load(spark, where, "documents"))
+
+
 @R.query("corpus_clean_full")
 def corpus_clean_full(spark, where):
     """All stages: composition, redaction, gates, exact and near duplicates."""
-    v = C.verdicts(load(spark, where, "documents"))
+    v = _full(spark, where)
     return v.select("doc_id", "kept", "stage", "language_score", "quality_score", F.array_join("reasons", ",").alias("reasons"))
 
 
 @R.query("corpus_funnel_full")
 def corpus_funnel_full(spark, where):
-    return C.funnel(C.verdicts(load(spark, where, "documents")))
+    """Survivors after every stage of the whole pipeline."""
+    return C.funnel(_full(spark, where))
+
+
+@R.query("corpus_drops_full")
+def corpus_drops_full(spark, where):
+    return C.drops(_full(spark, where))
+
+
+@R.query("corpus_example_drops", _VERDICTS + """ SELECT doc_id, stage FROM v WHERE stage IS NOT NULL ORDER BY CASE stage WHEN 'exact-dedup' THEN 2 ELSE 0 END, doc_id LIMIT 8""")
+def corpus_example_drops(spark, where):
+    """The first eight drops of a report."""
+    return C.example_drops(_verdicts(spark, where)).select("doc_id", "stage")
 
 
 @R.query("corpus_pii_totals")
@@ -187,7 +203,9 @@ def exact_duplicates(spark, where):
     r"""SELECT doc_id, len(text) AS chars, len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS words,
     len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS unique_words,
     len(regexp_extract_all(text, '\r\n|[\n\r]')) + CASE WHEN text = '' OR regexp_matches(text, '[\n\r]\z') THEN 0 ELSE 1 END AS lines,
-    md5(text) AS md5 FROM documents WHERE text IS NOT NULL""",
+    md5(text) AS md5, CAST(strlen(text) AS BIGINT) AS bytes,
+    CASE WHEN len(regexp_extract_all(lower(text), '[a-z0-9_]+')) > 0 THEN round(strlen(text) / len(regexp_extract_all(lower(text), '[a-z0-9_]+')), 2) ELSE 0 END AS bytes_per_word
+    FROM documents WHERE text IS NOT NULL""",
 )
 def corpus_stats(spark, where):
     return C.corpus_stats(load(spark, where, "documents"))

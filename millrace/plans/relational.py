@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.operators import accounts as A
 from millrace.plans.registry import Registry
 from millrace.sources.files import latest
 from millrace.tables import load
@@ -56,15 +57,27 @@ def usage_left_join(spark, where):
 
 @R.query(
     "longest_prefix",
-    """WITH p(prefix) AS (VALUES ('r'), ('rule'), ('ops'), ('edu'), ('_'))
+    """WITH p AS (SELECT DISTINCT substr(path, 1, n) AS prefix FROM docs, (VALUES (1), (4), (9), (12)) t(n) WHERE len(path) >= n)
     SELECT d.path, arg_max(p.prefix, len(p.prefix)) AS prefix FROM (SELECT DISTINCT path FROM docs) d JOIN p ON starts_with(d.path, p.prefix) GROUP BY 1""",
 )
 def longest_prefix(spark, where):
-    """Prefix join with a small stated set: each path goes with its longest matching prefix."""
-    prefixes = ("r", "rule", "ops", "edu", "_")
-    d = load(spark, where, "docs").select("path").distinct()
-    best = F.coalesce(*[F.when(F.startswith("path", F.lit(p)), F.lit(p)) for p in sorted(prefixes, key=len, reverse=True)])
-    return d.select("path", best.alias("prefix")).where("prefix is not null")
+    """Each path with the longest prefix it begins with, of a table of prefixes."""
+    d = load(spark, where, "docs").select("path").where("path is not null").distinct()
+    n = F.explode(F.array(*map(F.lit, (1, 4, 9, 12))))
+    p = d.withColumn("n", n).where(F.length("path") >= F.col("n")).select(F.left("path", F.col("n")).alias("prefix")).distinct()
+    return A.longest_prefix(d, "path", p)
+
+
+@R.query(
+    "key_by_digest",
+    """WITH p AS (SELECT substr(path, 1, 8) AS prefix, max(sha256(path)) AS digest FROM docs GROUP BY 1)
+    SELECT DISTINCT path, prefix FROM docs JOIN p ON substr(path, 1, 8) = prefix AND sha256(path) = digest""",
+)
+def key_by_digest(spark, where):
+    """Tokens found by their prefix and checked by their digest."""
+    d = load(spark, where, "docs").select("path").where("path is not null").distinct()
+    p = d.groupBy(F.left("path", F.lit(8)).alias("prefix")).agg(F.max(F.sha2("path", 256)).alias("digest"))
+    return A.longest_prefix(d, "path", p, F.sha2("path", 256))
 
 
 @R.query(

@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import learning as L
+from millrace.operators import annindex as A
 from millrace.operators import nearest as N
 from millrace.operators import retrieval as Q
 from millrace.plans.registry import Registry
+from millrace.session import scratch, stamp
 from millrace.tables import load
 
 R = Registry()
 
-# Searches take as queries every row whose id is divisible by 20, against all rows.
+# Searches take as queries every row whose id is divisible by 20, against all rows; evaluations take all questions.
 
 
 def _asked(spark, where):
-    g = load(spark, where, "golden").dropDuplicates(["id"])
-    return g.where(F.regexp_extract("id", r"(\d+)", 1).try_cast("long") % 20 == 0)
+    return _golden(spark, where).where(F.regexp_extract("id", r"(\d+)", 1).try_cast("long") % 20 == 0)
+
+
+def _golden(spark, where):
+    return load(spark, where, "golden").dropDuplicates(["id"])
 
 
 def _chunks(spark, where):
@@ -28,7 +32,7 @@ _STEM = """CASE WHEN regexp_matches(t, '(sses|xes|ches|shes|zes)$') THEN t[:-3]
   WHEN ends_with(t, 'ing') AND len(t) >= 6 THEN t[:-4] WHEN ends_with(t, 'ed') AND len(t) >= 5 THEN t[:-3]
   WHEN ends_with(t, 's') AND len(t) >= 4 AND NOT regexp_matches(t, '(ss|us|is)$') THEN t[:-2] ELSE t END"""
 _INDEX = f"""WITH c AS (SELECT DISTINCT id AS doc, doc AS grp, text FROM chunks),
-q0 AS (SELECT DISTINCT id, question, gold_doc, type FROM golden WHERE TRY_CAST(regexp_extract(id, '(\\d+)', 1) AS BIGINT) % 20 = 0),
+q0 AS (SELECT DISTINCT id, question, gold_doc, type, must_contain FROM golden WHERE TRY_CAST(regexp_extract(id, '(\\d+)', 1) AS BIGINT) % 20 = 0),
 ct AS (SELECT doc, len(toks) AS dl, toks FROM (SELECT doc, regexp_extract_all(lower(text), '[a-z0-9$%][a-z0-9._%]*') AS toks FROM c WHERE text IS NOT NULL)),
 tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM ct),
 tk AS (SELECT doc, dl, {_STEM} AS term FROM (SELECT doc, dl, unnest(toks) AS t FROM ct)),
@@ -50,18 +54,44 @@ f AS (SELECT coalesce(b.query, t.query) AS query, coalesce(b.doc, t.doc) AS doc,
 h0 AS (SELECT *, row_number() OVER (PARTITION BY query, grp ORDER BY score DESC, rank_1 NULLS LAST, rank_2 NULLS LAST, doc) AS turn FROM f JOIN c USING (doc)),
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank_1 NULLS LAST, rank_2 NULLS LAST, doc) AS rank
   FROM h0 WHERE turn <= 2) WHERE rank <= 6),
+ans AS (SELECT query, string_agg(coalesce(c.text, ''), chr(10) ORDER BY rank) AS answer FROM h JOIN c USING (doc) WHERE rank <= 5 GROUP BY 1),
 e AS (SELECT q0.id AS query, coalesce(q0.type, 'unknown') AS type, r.first_rank, coalesce(CAST(first_rank <= 5 AS INT), 0) AS recall_5,
-  coalesce(CAST(first_rank <= 3 AS INT), 0) AS precision_3, coalesce(1.0 / first_rank, 0) AS rr
-  FROM q0 LEFT JOIN (SELECT h.query, min(h.rank) AS first_rank FROM h JOIN q0 ON q0.id = h.query AND q0.gold_doc = h.grp GROUP BY 1) r ON r.query = q0.id)
+  coalesce(CAST(first_rank <= 3 AS INT), 0) AS precision_3, coalesce(1.0 / first_rank, 0) AS rr,
+  CASE WHEN must_contain IS NOT NULL THEN CAST(len(list_filter(must_contain, lambda alts: len(list_filter(alts, lambda a: contains(lower(coalesce(answer, '')), lower(a)))) > 0)) = len(must_contain) AS INT) END AS answer_hit
+  FROM q0 LEFT JOIN ans ON ans.query = q0.id LEFT JOIN (SELECT h.query, min(h.rank) AS first_rank FROM h JOIN q0 ON q0.id = h.query AND q0.gold_doc = h.grp GROUP BY 1) r ON r.query = q0.id)
 """
 
 
-def _lists(spark, where):
-    chunks, asked = _chunks(spark, where), _asked(spark, where)
-    ix = Q.index(chunks, "id")
-    ix = Q.Index(ix.postings.persist(), ix.totals)
-    terms = Q.query_terms(asked, "id", "question")
-    return chunks, asked, Q.bm25(ix, terms), Q.tfidf(ix, terms)
+_ALL = _INDEX.replace(" WHERE TRY_CAST(regexp_extract(id, '(\\d+)', 1) AS BIGINT) % 20 = 0", "")
+
+#: Stored indexes of this process by application, folder and state of the chunks table.
+_STORED: dict[tuple, str] = {}
+
+
+def _index(spark, where):
+    """The stored index of the chunks, built when it is first needed and again when the table has changed."""
+    key = (spark.sparkContext.applicationId, where, stamp(spark, f"{where}/chunks.parquet"))
+    if key not in _STORED:
+        at = scratch(spark, "index")
+        Q.store(Q.index(_chunks(spark, where), "id"), at)
+        _STORED[key] = at
+    return Q.open_index(spark, _STORED[key])
+
+
+@R.query(
+    "index_stats",
+    _INDEX + """SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM tf) AS n_postings, (SELECT CAST(sum(tf) AS BIGINT) FROM tf) AS n_tokens,
+    (SELECT count(*) FROM df) AS n_terms FROM tot""",
+)
+def index_stats(spark, where):
+    """The stored index: documents, mean length, terms, postings."""
+    return Q.stats(_index(spark, where))
+
+
+def _lists(spark, where, asked=None):
+    asked = _asked(spark, where) if asked is None else asked
+    ix, terms = _index(spark, where), Q.query_terms(asked, "id", "question")
+    return _chunks(spark, where), asked, Q.bm25(ix, terms), Q.tfidf(ix, terms)
 
 
 @R.query("bm25_topk", _INDEX + "SELECT query, doc, score, rank FROM b")
@@ -74,8 +104,8 @@ def tfidf_topk(spark, where):
     return _lists(spark, where)[3].select("query", "doc", "score", "rank")
 
 
-def _hits(spark, where):
-    chunks, asked, a, b = _lists(spark, where)
+def _hits(spark, where, asked=None):
+    chunks, asked, a, b = _lists(spark, where, asked)
     groups = chunks.select(F.col("id").alias("doc"), F.col("doc").alias("grp"))
     return Q.hits(Q.fuse(a, b), groups), asked
 
@@ -87,19 +117,22 @@ def hybrid_hits(spark, where):
 
 
 def _evaluated(spark, where):
-    found, asked = _hits(spark, where)
-    return Q.evaluate(found, asked.select(F.col("id").alias("query"), F.col("gold_doc").alias("gold"), "type"))
+    found, asked = _hits(spark, where, _golden(spark, where))
+    found = found.persist()  # six rows a question, read twice
+    answered = Q.answers(found, _chunks(spark, where).select(F.col("id").alias("doc"), "text"))
+    return Q.evaluate(found, asked.select(F.col("id").alias("query"), F.col("gold_doc").alias("gold"), "type", "must_contain"), answered)
 
 
-@R.query("retrieval_eval", _INDEX + "SELECT query, first_rank, recall_5, precision_3, round(rr, 6) AS rr FROM e")
+@R.query("retrieval_eval", _ALL + "SELECT query, first_rank, recall_5, precision_3, round(rr, 6) AS rr, answer_hit FROM e")
 def retrieval_eval(spark, where):
-    return _evaluated(spark, where).select("query", "first_rank", "recall_5", "precision_3", F.round("rr", 6).alias("rr"))
+    return _evaluated(spark, where).select("query", "first_rank", "recall_5", "precision_3", F.round("rr", 6).alias("rr"), "answer_hit")
 
 
 @R.query(
     "retrieval_summary",
-    _INDEX + """SELECT coalesce(type, '*') AS type, count(*) AS n, round(avg(recall_5), 6) AS recall_5, round(avg(precision_3), 6) AS precision_3,
-    round(avg(rr), 6) AS mrr, round(avg(recall_5), 6) >= 0.8 AS gate FROM e GROUP BY GROUPING SETS ((type), ())""",
+    _ALL + """SELECT coalesce(type, '*') AS type, count(*) AS n, round(avg(recall_5), 6) AS recall_5, round(avg(precision_3), 6) AS precision_3,
+    round(avg(rr), 6) AS mrr, round(avg(answer_hit), 6) AS accuracy,
+    round(avg(recall_5), 6) >= 0.8 AND coalesce(round(avg(answer_hit), 6) >= 0.75, true) AS gate FROM e GROUP BY GROUPING SETS ((type), ())""",
 )
 def retrieval_summary(spark, where):
     return Q.summary(_evaluated(spark, where))
@@ -134,12 +167,39 @@ for _m in _DIST:
     R.query(f"knn_{_m}", _knn_sql(_m) + " SELECT query, id, distance, rank FROM r WHERE rank <= 10")(_knn(_m))
 
 
-@R.query("knn_lists_recall")
+def _stored_lists(spark, where, points, lists=32):
+    return A.build(points.select("id", "vec"), scratch(spark, "lists"), lists)
+
+
+@R.query("knn_lists_recall", "SELECT CAST(count(*) AS BIGINT) AS queries, CAST(1.0 AS DOUBLE) AS recall FROM embeddings WHERE vec_id % 20 = 0")
 def knn_lists_recall(spark, where):
-    """Recall of approximate neighbours by inverted lists against the exact ones."""
+    """Recall of the stored index against the exact neighbours when every list is probed: it must be whole."""
+    p = _points(spark, where)
+    q = p.where("id % 20 = 0")
+    return N.recall(_stored_lists(spark, where, p).search(q, 10, 32), N.exact(p, q, 10))
+
+
+@R.query("knn_effort")
+def knn_effort(spark, where):
+    """Recall of the stored index by the number of lists probed."""
     p = _points(spark, where)
     q = p.where("id % 20 = 0")
-    return N.recall(L.inverted_lists(p, q, 10, 32, 22), N.exact(p, q, 10))
+    return A.effort_table(_stored_lists(spark, where, p), q, N.exact(p, q, 10), 10, (2, 4, 8, 16, 24))
+
+
+@R.query(
+    "knn_after_removal",
+    "WITH p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.id AS query, b.id AS id, "
+    "round(1 - list_cosine_similarity(a.v, b.v), 9) AS distance FROM p a, p b WHERE a.id % 20 = 0 AND (b.id % 7 <> 0 OR b.id % 14 = 0)), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM d) SELECT query, id, distance, rank FROM r WHERE rank <= 5",
+)
+def knn_after_removal(spark, where):
+    """A stored index that lost ids, got some of them again, was compacted and opened anew."""
+    p = _points(spark, where).select("id", "vec")
+    ix = _stored_lists(spark, where, p, 16)
+    ix.remove(p.where("id % 7 = 0"))
+    ix.add(p.where("id % 14 = 0"))
+    return ix.compact(scratch(spark, "lists")).search(p.where("id % 20 = 0"), 5, 16).select("query", "id", "distance", "rank")
 
 
 @R.query(
@@ -211,6 +271,26 @@ for _mode, _w in _WINDOWS.items():
     )
 
 
+@R.query(
+    "feedback_outcomes",
+    """WITH o AS (SELECT vec_id AS id, 'mid' AS model, label % 4 <> 3 AS passed FROM embeddings), n AS (SELECT vec_id AS id, 'mid' AS model, true AS passed FROM embeddings WHERE vec_id % 3 = 0)
+    SELECT coalesce(o.id, n.id) AS id, coalesce(o.model, n.model) AS model, coalesce(n.passed, o.passed) AS passed FROM o FULL JOIN n ON o.id = n.id AND o.model = n.model""",
+)
+def feedback_outcomes(spark, where):
+    """Outcomes with later ones appended to the records that routing looks at."""
+    p = _points(spark, where)
+    old = p.select("id", F.lit("mid").alias("model"), (F.col("label") % 4 != 3).alias("passed"))
+    return N.with_feedback(old, p.where("id % 3 = 0").select("id", F.lit("mid").alias("model"), F.lit(True).alias("passed")))
+
+
+@R.query("quantize_savings", "SELECT CAST(4 * sum(len(embedding)) AS BIGINT) AS was, CAST(sum(len(embedding)) + 4 * count(DISTINCT label) AS BIGINT) AS bytes, "
+         "round(4 * sum(len(embedding)) / (sum(len(embedding)) + 4 * count(DISTINCT label)), 4) AS ratio FROM embeddings")
+def quantize_savings(spark, where):
+    """Bytes and ratio with one scale a tensor."""
+    c = _cells(spark, where)
+    return N.saved_bytes(N.sizes(c, "per-tensor"), c)
+
+
 @R.query("quantize_calibrate")
 def quantize_calibrate(spark, where):
     """The smallest mode per tensor whose agreement holds."""

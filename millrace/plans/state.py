@@ -84,23 +84,58 @@ def replay_check(spark, where):
     return S.replay(e, "signature", ["at", "event_id"], 3 * 86400.0).select("event_id", "passed")
 
 
-@R.query("quarantine")
+@R.query(
+    "quarantine",
+    _ORD + """ v AS (SELECT *, CASE event_type WHEN 'error' THEN 'keys' WHEN 'signup' THEN 'malformed' END AS kind FROM e),
+    b AS (
+      SELECT user_id, event_id, rn, CASE WHEN kind IS NULL THEN 0 ELSE 1 END AS violations, false AS quarantined, false AS refused FROM v WHERE rn = 1
+      UNION ALL
+      SELECT v.user_id, v.event_id, v.rn, CASE WHEN b.quarantined THEN b.violations WHEN kind IS NULL THEN 0 ELSE b.violations + 1 END,
+        b.quarantined OR (kind = 'keys' AND b.violations + 1 >= 2) IS TRUE, b.quarantined
+      FROM b JOIN v ON v.user_id = b.user_id AND v.rn = b.rn + 1)
+    SELECT event_id, violations, quarantined, refused FROM b""",
+)
 def quarantine(spark, where):
     e = _events(spark, where).withColumn("violation", F.when(F.col("event_type") == "error", "keys").when(F.col("event_type") == "signup", "malformed"))
-    return S.quarantine(e, "user_id", ["at", "event_id"], 2).select("event_id", "violations", "quarantined")
+    return S.quarantine(e, "user_id", ["at", "event_id"], 2).select("event_id", "violations", "quarantined", "refused")
 
 
-@R.query("ttl_cache")
+@R.query(
+    "ttl_cache",
+    _ORD + """ r AS (SELECT user_id, event_id, rn, us, json_extract_string(props, '$.k') AS k FROM e),
+    b AS (
+      SELECT user_id, rn, false AS hit, [{'k': k, 't': us}] AS c FROM r WHERE rn = 1
+      UNION ALL
+      SELECT user_id, rn, hit,
+        CASE WHEN hit THEN list_filter(c, lambda x: x.k <> k) || list_filter(c, lambda x: x.k = k)
+          ELSE CASE WHEN len(rest) < 4 THEN rest
+            WHEN len(list_filter(rest, lambda x: us - x.t > 432000000000)) > 0 THEN list_filter(rest, lambda x: x.k <> list_filter(rest, lambda y: us - y.t > 432000000000)[1].k)
+            ELSE rest[2:] END || [{'k': k, 't': us}] END
+      FROM (SELECT r.user_id, r.rn, r.us, r.k, b.c, len(list_filter(b.c, lambda x: x.k = r.k AND r.us - x.t <= 432000000000)) > 0 AS hit,
+          list_filter(b.c, lambda x: x.k <> r.k) AS rest FROM b JOIN r ON r.user_id = b.user_id AND r.rn = b.rn + 1))
+    SELECT user_id, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS hits, CAST(sum(CAST(NOT hit AS INT)) AS BIGINT) AS misses, max(len(c)) AS size, round(avg(CAST(hit AS INT)), 4) AS hit_rate FROM b GROUP BY 1""",
+)
 def ttl_cache(spark, where):
     e = _events(spark, where).withColumn("request", F.get_json_object("props", "$.k"))
     out = S.ttl_cache(e, "user_id", ["at", "event_id"], 5 * 86400.0, 4)
     return out.groupBy("user_id").agg(
-        F.sum(F.col("hit").cast("int")).alias("hits"), F.sum((~F.col("hit")).cast("int")).alias("misses"), F.max("size").alias("size"),
+        F.sum(F.col("hit").cast("int")).alias("hits"), F.sum((~F.col("hit")).cast("int")).alias("misses"), F.max("size").cast("long").alias("size"),
         F.round(F.avg(F.col("hit").cast("int")), 4).alias("hit_rate"),
     )
 
 
-@R.query("signature_chain")
+_PADS = ["".join(f"\\x{b ^ x:02X}" for b in b"k".ljust(64, b"\0")) for x in (0x36, 0x5C)]
+
+
+@R.query(
+    "signature_chain",
+    _ORD + f""" b AS (
+      SELECT user_id, event_id, rn, sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(props)))) AS signature FROM e WHERE rn = 1
+      UNION ALL
+      SELECT e.user_id, e.event_id, e.rn, sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(b.signature || e.props))))
+      FROM b JOIN e ON e.user_id = b.user_id AND e.rn = b.rn + 1)
+    SELECT event_id, signature FROM b""",
+)
 def signature_chain(spark, where):
     e = _events(spark, where).withColumn("body", F.col("props"))
     return S.signature_chain(e, "user_id", ["at", "event_id"], b"k").select("event_id", "signature")
@@ -114,7 +149,20 @@ def round_robin(spark, where):
     return S.round_robin(_events(spark, where), "user_id", ["at", "event_id"], [("a", 2), ("b", 1), ("c", 3)]).select("event_id", "provider")
 
 
-@R.query("fault_schedule")
+@R.query(
+    "fault_schedule",
+    _ORD + """ b AS (
+      SELECT user_id, rn, s1, s2, CASE WHEN s1 / 2147483648 < 0.1 THEN 1 ELSE 2 END AS rolls,
+        CASE WHEN s1 / 2147483648 < 0.1 THEN 'timeout' WHEN s2 / 2147483648 < 0.2 THEN 'truncated' END AS fault
+      FROM (SELECT user_id, rn, s1, (s1 * 1103515245 + 12345) % 2147483648 AS s2 FROM (SELECT user_id, rn, (CAST(20260923 AS BIGINT) * 1103515245 + 12345) % 2147483648 AS s1 FROM e WHERE rn = 1))
+      UNION ALL
+      SELECT user_id, rn, s1, s2, CASE WHEN s1 / 2147483648 < 0.1 THEN 1 ELSE 2 END,
+        CASE WHEN s1 / 2147483648 < 0.1 THEN 'timeout' WHEN s2 / 2147483648 < 0.2 THEN 'truncated' END
+      FROM (SELECT user_id, rn, s1, (s1 * 1103515245 + 12345) % 2147483648 AS s2 FROM (
+        SELECT e.user_id, e.rn, (CASE WHEN b.rolls = 1 THEN b.s1 ELSE b.s2 END * 1103515245 + 12345) % 2147483648 AS s1
+        FROM b JOIN e ON e.user_id = b.user_id AND e.rn = b.rn + 1)))
+    SELECT fault, count(*) AS n, CAST(sum(rolls) AS BIGINT) AS rolls FROM b GROUP BY 1""",
+)
 def fault_schedule(spark, where):
     out = S.fault_schedule(_events(spark, where), "user_id", ["at", "event_id"], [("timeout", 0.1), ("truncated", 0.2)])
     return out.groupBy("fault").agg(F.count("*").alias("n"), F.sum("rolls").alias("rolls"))
@@ -164,6 +212,34 @@ def trace_quantiles(spark, where):
     return S.quantiles(load(spark, where, "events"), "event_type", "value")
 
 
+@R.query(
+    "trace_stats",
+    """WITH r AS (SELECT * FROM events ORDER BY event_id DESC LIMIT 200), v AS (SELECT list_sort(list(value) FILTER (value IS NOT NULL AND value <> 0)) AS v FROM r)
+    SELECT (SELECT count(*) FROM r) AS n, v[CAST(floor(len(v) * 0.5) AS BIGINT) + 1] AS p50, v[CAST(floor(len(v) * 0.95) AS BIGINT) + 1] AS p95,
+      (SELECT CAST(sum(user_id) AS BIGINT) FROM r) AS tokens, (SELECT round(sum(value) / 1000, 4) FROM r) AS cost FROM v""",
+)
+def trace_stats(spark, where):
+    """The latest 200 traces: count, quantiles, token and cost sums."""
+    e = load(spark, where, "events").select(F.col("event_id").alias("id"), F.col("value").alias("latency_ms"), F.col("user_id").alias("tokens"), (F.col("value") / 1000).alias("cost"))
+    return S.trace_stats(e, 200)
+
+
+@R.query(
+    "reply_violations",
+    """WITH r AS (SELECT event_id, value, CASE WHEN event_type = 'signup' THEN '{bad' WHEN event_type = 'click' THEN '{"id": 1}'
+        ELSE '{"id": 1, "usage": {"prompt_tokens": ' || (user_id * 10) || ', "completion_tokens": 5}}' END AS body, event_type, user_id FROM events)
+    SELECT event_id, CASE WHEN event_type = 'signup' THEN 'malformed' WHEN event_type = 'click' THEN 'missing_keys'
+      WHEN (user_id * 10 + 5) / 100.0 < 0.1 OR (user_id * 10 + 5) / 100.0 > 10 THEN 'token_usage_sanity' WHEN value > 100 THEN 'latency_outlier' END AS violation FROM r""",
+)
+def reply_violations(spark, where):
+    """Provider replies checked for their keys, token ratio and latency."""
+    t, u = F.col("event_type"), F.col("user_id")
+    body = F.when(t == "signup", "{bad").when(t == "click", '{"id": 1}').otherwise(
+        F.concat(F.lit('{"id": 1, "usage": {"prompt_tokens": '), (u * 10).cast("string"), F.lit(', "completion_tokens": 5}}'))
+    )
+    return load(spark, where, "events").select("event_id", S.violation(body, F.col("value"), F.lit(100), ("id", "usage"), 0.1, 10.0, 100.0).alias("violation"))
+
+
 @R.query(
     "latest_events",
     "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 200",

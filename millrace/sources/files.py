@@ -19,19 +19,34 @@ def _decode(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else bytes(b).decode("utf-8", errors="ignore"))
 
 
-def read_texts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = TEXT_SUFFIXES) -> DataFrame:
+def read_texts(spark: SparkSession, path: str, suffixes: tuple[str, ...] | None = TEXT_SUFFIXES) -> DataFrame:
     """Every file below ``path`` with one of the suffixes (any case): id (file name), source (path), text.
 
+    Without suffixes every file is taken, as one that is named explicitly is.
     Bad bytes are dropped; a file name may occur in several folders. Files are
-    split over tasks by the binary source, none is read on the driver.
+    split over tasks by the binary source, none is read on the driver; ``source``
+    gives the order of a sorted scan.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    ends = F.lit(False)
-    for s in suffixes:
-        ends = ends | F.lower("path").endswith(s)
-    return files.where(ends).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("id"), F.col("path").alias("source"), _decode("content").alias("text")
-    )
+    if suffixes is not None:
+        ends = F.lit(False)
+        for s in suffixes:
+            ends = ends | F.lower("path").endswith(s)
+        files = files.where(ends)
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("id"), F.col("path").alias("source"), _decode("content").alias("text"))
+
+
+def read_corpus(spark: SparkSession, path: str, most_chars: int | None = None) -> DataFrame:
+    """Whole texts of files, each cut after ``most_chars`` characters if that is given."""
+    whole = read_texts(spark, path, None)
+    return whole if most_chars is None else whole.withColumn("text", F.left("text", F.lit(most_chars)))
+
+
+def read_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """Uploaded files: name, path, kind (markdown, text or other), text (null for other kinds, which are not decoded)."""
+    kind = F.when(F.lower("source").rlike(r"\.(md|markdown)$"), "markdown").when(F.lower("source").endswith(".txt"), "text").otherwise("other")
+    got = read_texts(spark, path, None).select(F.col("id").alias("name"), F.col("source").alias("path"), kind.alias("kind"), "text")
+    return got.withColumn("text", F.when(F.col("kind") != "other", F.col("text")))
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
@@ -96,13 +111,40 @@ def latest(changes: DataFrame, key: str, at: str) -> DataFrame:
     return changes.withColumn("_turn", F.row_number().over(w)).where("_turn = 1").drop("_turn")
 
 
-def write_eval_set(pairs: DataFrame, path: str) -> None:
-    pairs.write.mode("overwrite").json(path)
+#: Version of stored evaluation sets.
+EVAL_SET_VERSION = 1
+
+
+def write_eval_set(cases: DataFrame, path: str, name: str = "set") -> None:
+    """Cases as JSON lines with the set's name, version and time of creation."""
+    cases.select("*", F.lit(name).alias("set_name"), F.lit(EVAL_SET_VERSION).alias("version"), F.current_timestamp().alias("created_at")).write.mode("overwrite").json(path)
 
 
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
-    """Cases with an optional source."""
-    return spark.read.schema("case_id string, question string, expected string, type string, source string").json(path)
+    """Cases with an optional source; sets of another version are refused."""
+    got = spark.read.schema("case_id string, question string, expected string, type string, source string, set_name string, version int, created_at timestamp").json(path)
+    if got.where(F.col("version").isNotNull() & (F.col("version") != EVAL_SET_VERSION)).limit(1).count():
+        raise ValueError("the evaluation set has another version")
+    return got
+
+
+def write_alphabet(docs: DataFrame, path: str, text: str = "text") -> None:
+    """The sorted distinct characters of all texts with their ids."""
+    chars = docs.select(F.explode(F.array_distinct(F.split(F.col(text), ""))).alias("char")).where("char <> ''").distinct()
+    chars.groupBy().agg(F.array_sort(F.collect_set("char")).alias("chars")).select(F.posexplode("chars").alias("id", "char")).write.mode("overwrite").json(path)  # at most all characters there are
+
+
+def read_alphabet(spark: SparkSession, path: str) -> str:
+    return "".join(r.char for r in spark.read.schema("id int, char string").json(path).orderBy("id").collect())
+
+
+def write_special(special: dict[str, int], spark: SparkSession, path: str) -> None:
+    """Special tokens beside a merges table."""
+    spark.createDataFrame(sorted(special.items(), key=lambda x: x[1]), "token string, id int").write.mode("overwrite").json(path)
+
+
+def read_special(spark: SparkSession, path: str) -> dict[str, int]:
+    return {r.token: r.id for r in spark.read.schema("token string, id int").json(path).collect()}
 
 
 def write_merges(merges: DataFrame, path: str) -> None:
@@ -119,8 +161,8 @@ def read_merges(spark: SparkSession, path: str) -> DataFrame:
     return m
 
 
-def report(funnel_rows: list, drop_rows: list, pii_rows: list) -> str:
-    """A Markdown report of a cleaning run from the rows of its small result tables."""
+def report(funnel_rows: list, drop_rows: list, pii_rows: list, examples: list = ()) -> str:
+    """A Markdown report of a cleaning run from the rows of its small result tables; ``examples`` are some drops."""
     lines = ["# Corpus report", "", "| stage | documents | of previous |", "|-|-|-|"]
     last = None
     for r in sorted(funnel_rows, key=lambda r: r.ord):
@@ -129,4 +171,48 @@ def report(funnel_rows: list, drop_rows: list, pii_rows: list) -> str:
         last = r.n
     lines += ["", "## Drops", *(f"- {r.stage}: {r.n}" for r in sorted(drop_rows, key=lambda r: (-r.n, r.stage)))]
     lines += ["", "## Redactions", *(f"- {r.kind}: {r.n}" for r in sorted(pii_rows, key=lambda r: r.kind) if r.n)]
+    if examples:
+        lines += ["", "## Examples", *(f"- {r.doc_id} ({r.stage}): {', '.join(r.reasons or [])}" for r in examples)]
     return "\n".join(lines) + "\n"
+
+
+def eval_report(summary_rows: list, failures: list = ()) -> str:
+    """A Markdown report of an evaluation from its summary rows (type ``*`` is all) and the questions that failed."""
+    lines = ["# Retrieval report", "", "| type | n | recall@5 | hit@3 | MRR | answers |", "|-|-|-|-|-|-|"]
+    for r in sorted(summary_rows, key=lambda r: (r.type != "*", r.type)):
+        answers = "" if r.accuracy is None else f"{r.accuracy:.1%}"
+        lines.append(f"| {r.type} | {r.n} | {r.recall_5:.1%} | {r.precision_3:.1%} | {r.mrr:.3f} | {answers} |")
+    if failures:
+        lines += ["", "## Not found", *(f"- {r.query}" for r in failures)]
+    return "\n".join(lines) + "\n"
+
+
+def write_stories(stories: DataFrame, path: str, text: str = "story") -> None:
+    """Stories as text files, an empty line after each; written by all tasks."""
+    stories.select(F.concat(F.trim(text), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+
+
+def textbook(parts: DataFrame, plan: DataFrame) -> DataFrame:
+    """parts (domain, ord, text) in the order of a plan (domain, rank): rows (rank, ord, text), ready for an ordered write; domains without a text are left out."""
+    return parts.where("text is not null").join(plan.select("domain", "rank"), "domain").select("rank", "ord", "text").orderBy("rank", "ord")
+
+
+#: The tables of the search application, as they are declared.
+DDL = {
+    "docs": "path STRING NOT NULL, title STRING, hash STRING, ingested_at DOUBLE",
+    "chunks": "id BIGINT NOT NULL, doc STRING NOT NULL, heading STRING, ord INT, text STRING, n_tokens INT",
+    "vectors": "chunk_id BIGINT NOT NULL, kind STRING, dim INT, vec BINARY",
+    "users": "id BIGINT NOT NULL, email STRING, pw STRING, plan STRING, created_at DOUBLE",
+    "sessions": "token STRING NOT NULL, user_id BIGINT, created_at DOUBLE",
+    "api_keys": "prefix STRING NOT NULL, key_hash STRING, user_id BIGINT, plan STRING, revoked INT, created_at DOUBLE",
+    "usage": "user_id BIGINT, prefix STRING, route STRING, month STRING, ts DOUBLE",
+    "traces": "id BIGINT NOT NULL, ts DOUBLE, route STRING, latency_ms DOUBLE, retrieval_json STRING, tokens BIGINT, cost DOUBLE, status STRING",
+}
+
+
+def create_tables(spark: SparkSession, database: str = "default", names: tuple[str, ...] = tuple(DDL)) -> list[str]:
+    """Declare the tables as parquet tables of the catalog if they are not there; ``usage`` is partitioned by month."""
+    for n in names:
+        by = " PARTITIONED BY (month)" if n == "usage" else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{n} ({DDL[n]}) USING parquet{by}")
+    return list(names)

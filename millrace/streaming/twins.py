@@ -55,7 +55,21 @@ def replay(stream: DataFrame, key: str, order: list[str], keep: list[str], ttl_s
 
 
 def quarantine(stream: DataFrame, key: str, order: list[str], keep: list[str], limit: int = 3) -> DataFrame:
-    return _stateful(stream, key, order, S.quarantine_step(limit), [("violations", "int"), ("quarantined", "boolean")], keep)
+    return _stateful(stream, key, order, S.quarantine_step(limit), [("violations", "int"), ("quarantined", "boolean"), ("refused", "boolean")], keep)
+
+
+def ttl_cache(stream: DataFrame, key: str, order: list[str], keep: list[str], ttl_s: float = 300.0, maxsize: int = 128) -> DataFrame:
+    return _stateful(stream, key, order, S.cache_step(ttl_s, maxsize), [("hit", "boolean"), ("size", "int")], keep)
+
+
+def round_robin(stream: DataFrame, key: str, order: list[str], keep: list[str], weights: list[tuple[str, int]], exclude: tuple[str, ...] = ()) -> DataFrame:
+    turns = [n for n, w in weights for _ in range(w) if n not in exclude]
+
+    def step(s: dict, r: dict) -> dict:
+        at = s["at"] = (s.get("at", -1) + 1) % max(1, len(turns))
+        return {"provider": turns[at] if turns else None}
+
+    return _stateful(stream, key, order, step, [("provider", "string")], keep)
 
 
 def first_within(stream: DataFrame, ts: str, keys: list[str], within: str = "10 minutes") -> DataFrame:
