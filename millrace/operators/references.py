@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +24,7 @@ from millrace.session import shuffle_partitions
 
 #: References that one probe task takes at most, on average, before its range is split.
 REFS_PER_TASK = 500_000
-#: Keys of one parent array at most, on average.
+#: Keys of one parent array on average; whatever the number of keys, arrays don't grow beyond it.
 KEYS_PER_RANGE = 200_000
 #: Keys drawn per range to place the range bounds; they shape the layout, never the result.
 DRAWN_PER_RANGE = 20
@@ -127,8 +128,11 @@ def find_orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     parents make every reference missing; empty references give no row.
     """
     spark = refs.sparkSession
+    parents = parents.persist(StorageLevel.MEMORY_AND_DISK)  # two values a key, read three times
     n_keys, n_refs = parents.count(), refs.count()
     ranges = int(min(MAX_RANGES, max(1, shuffle_partitions(spark), -(-n_keys // KEYS_PER_RANGE))))
+    # Beyond the most ranges there are, each is cut into arrays of bounded size by a hash of the key.
+    arrays = max(1, -(-n_keys // (ranges * KEYS_PER_RANGE)))
     # The keys of smallest hash are a uniform, repeatable draw of bounded size.
     drawn = (
         parents.select("key").orderBy(F.xxhash64("key"), "key").limit(DRAWN_PER_RANGE * ranges).collect()
@@ -138,23 +142,25 @@ def find_orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     drawn = sorted({r.key for r in drawn})
     bounds = [drawn[i * len(drawn) // ranges] for i in range(1, ranges)] if len(drawn) >= ranges else drawn[1:]
     number = _route(bounds)
-    placed = refs.withColumn("range", number(F.col("key")))
+    which = F.pmod(F.xxhash64("key"), F.lit(arrays)).cast("int") if arrays > 1 else F.lit(0)
+    placed = refs.withColumn("range", number(F.col("key"))).withColumn("array", which)
     if n_refs > REFS_PER_TASK * 2:
         crowd = {r["range"]: r["count"] for r in placed.groupBy("range").count().collect()}  # at most MAX_RANGES rows
     else:
         crowd = {}
-    splits = [max(1, -(-crowd.get(i, 0) // REFS_PER_TASK)) for i in range(len(bounds) + 1)]
+    splits = [max(1, -(-crowd.get(i, 0) // (REFS_PER_TASK * arrays))) for i in range(len(bounds) + 1)]
     parts = F.element_at(F.array(*[F.lit(x) for x in splits]), F.col("range") + 1)
     placed = placed.withColumn("part", F.pmod(F.xxhash64("ref_id", "ref_at"), parts).cast("int"))
     stored = (
         parents.withColumn("range", number(F.col("key")))
-        .groupBy("range")
+        .withColumn("array", which)
+        .groupBy("range", "array")
         .agg(F.array_sort(F.collect_list(F.struct("key", "live_from"))).alias("parents"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     )
     found = (
-        placed.groupBy("range", "part")
-        .cogroup(stored.groupBy("range", "part"))
+        placed.groupBy("range", "array", "part")
+        .cogroup(stored.groupBy("range", "array", "part"))
         .applyInArrow(lambda a, b: _probe(a, b), MISSES)
     )
     return found.dropDuplicates(["ref_table", "ref_id", "state"])
