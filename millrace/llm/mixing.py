@@ -5,9 +5,9 @@ often as whole repeats allow; the fraction that is left is an inclusion
 probability. The cube method turns these probabilities into a choice: in the
 flight phase they move along the null space of the balancing constraints
 (number of documents and number of tokens stay what they are) until one of them
-is 0 or 1, again and again, until at most two are undecided. The landing phase
-settles those few so that the source's tokens come as near to the goal as they
-can. Large sources are dealt to blocks, each block flies on its own, and the few
+is 0 or 1, again and again, until at most a dozen are undecided. The landing
+phase tries all choices of those few and takes the one whose tokens come nearest
+to the goal. Large sources are dealt to blocks, each block flies on its own, and the few
 undecided documents of all blocks of a source fly once more together.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +32,8 @@ MAX_TARGETS = 10_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text before merges; a fixed value that belongs to the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Documents that the landing phase settles at most, by trying all their choices.
+LANDING = 12
 _EPS = 1e-9
 
 
@@ -58,11 +61,11 @@ def with_tokens(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY,
     return df.withColumn(out, size(F.col(text)))
 
 
-def flight(ids: list, tokens: list[int], probs: list[float]) -> tuple[dict, list[tuple]]:
+def flight(ids: list, tokens: list[int], probs: list[float], leave: int = 2) -> tuple[dict, list[tuple]]:
     """The flight phase: ``(decided, undecided)``.
 
-    ``decided`` maps ids to 0 or 1; ``undecided`` lists at most two (id, tokens,
-    probability). The sums of probabilities and of probability times tokens stay
+    ``decided`` maps ids to 0 or 1; ``undecided`` lists at most ``leave`` (two or
+    more) of (id, tokens, probability). The sums of probabilities and of probability times tokens stay
     what they were, up to rounding. The walk follows the given order and takes
     no random numbers, so it is repeatable.
     """
@@ -74,7 +77,7 @@ def flight(ids: list, tokens: list[int], probs: list[float]) -> tuple[dict, list
             decided[item[0]] = int(item[2] > 0.5)
             continue
         open_.append(list(item))
-        while len(open_) >= 3:
+        while len(open_) > max(2, leave):
             (a, b, c) = open_[:3]
             # The null space of ((1, 1, 1), (t1, t2, t3)) is one line; with equal sizes it is wider.
             v = (c[1] - b[1], a[1] - c[1], b[1] - a[1])
@@ -97,10 +100,14 @@ def flight(ids: list, tokens: list[int], probs: list[float]) -> tuple[dict, list
 
 
 def landing(undecided: list[tuple], slack: float = 0.0) -> dict:
-    """Settle the at most two undecided: the choice whose tokens come nearest to what is owed."""
-    owed = sum(p * t for _, t, p in undecided) + slack
-    best = min(range(2 ** len(undecided)), key=lambda m: (abs(owed - sum(x[1] for i, x in enumerate(undecided) if m >> i & 1)), m))
-    return {x[0]: best >> i & 1 for i, x in enumerate(undecided)}
+    """Settle the few undecided: the choice whose tokens, and then whose number, come nearest to what is owed."""
+    n = len(undecided)
+    chosen = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+    sizes, probs = np.array([t for _, t, _ in undecided], float), np.array([p for *_, p in undecided], float)
+    off = np.abs(probs @ sizes + slack - chosen @ sizes) if n else np.zeros(1)
+    count = np.abs(probs.sum() - chosen.sum(axis=1))
+    best = np.lexsort((np.arange(1 << n), count, np.round(off, 6)))[0]
+    return {x[0]: int(c) for x, c in zip(undecided, chosen[best])}
 
 
 def plan(available: dict[str, int], targets: list[tuple[str, float, int]], total: float | None = None) -> dict[str, dict]:
@@ -162,7 +169,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, vo
             df = table.to_pandas().sort_values(["n_tokens", "doc_id"], kind="stable").reset_index(drop=True)
             # A fixed shuffle: neighbours of a sorted list would tie the walk to size.
             df = df.iloc[pd.util.hash_pandas_object(df.doc_id, index=False).argsort(kind="stable")]
-            decided, left = flight(df.doc_id.tolist(), df.n_tokens.tolist(), df.part.tolist())
+            decided, left = flight(df.doc_id.tolist(), df.n_tokens.tolist(), df.part.tolist(), LANDING)
             if last:
                 decided |= landing(left)
                 left = []
