@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.llm import knn, leakage, mixing, mojibake, neardup, packing, pii, splitting
@@ -30,6 +31,25 @@ def p2_windows(spark, where):
     return _packed(spark, where)
 
 
+_WORDS = r"""w AS (SELECT id, max(len(regexp_extract_all(text, '[^ \t\n\r]+'))) AS n FROM chunks GROUP BY 1)"""
+
+
+@R.query(
+    "p2_whole",
+    f"""WITH {_WORDS} SELECT limit_name, id AS chunk_id, n AS n_words, CAST(ceil(n / max_tokens) AS BIGINT) AS parts, 0 AS faults
+    FROM w, size_limits WHERE purpose = 'pack' AND n > 0""",
+)
+def p2_whole(spark, where):
+    """What a packing must keep: every word of every chunk once, chunks cut only above the capacity, no window above it or with a wrong fill."""
+    w = _packed(spark, where)
+    fill = Window.partitionBy("limit_name", "window_id")
+    begins = F.lag(F.col("first_word") + F.col("n_words"), 1, 0).over(Window.partitionBy("limit_name", "chunk_id").orderBy("first_word"))
+    bad = (F.sum("n_words").over(fill) > F.col("capacity")) | (F.sum("n_words").over(fill) != F.col("window_words")) | (begins != F.col("first_word"))
+    return w.withColumn("bad", bad.cast("int")).groupBy("limit_name", "chunk_id").agg(
+        F.sum("n_words").alias("n_words"), F.count("*").alias("parts"), F.sum("bad").cast("int").alias("faults")
+    )
+
+
 @R.query("p2_fill")
 def p2_fill(spark, where):
     """Windows and fill reached for every pack capacity."""
@@ -47,6 +67,31 @@ def p5_pieces(spark, where):
     return _split(spark, where)
 
 
+@R.query(
+    "p5_whole",
+    f"""WITH {_WORDS}, l AS (SELECT max_tokens AS m FROM size_limits WHERE purpose = 'split')
+    SELECT id, n AS new_words, md5(text) AS md5, 0 AS faults FROM w JOIN (SELECT DISTINCT id, text FROM chunks) USING (id), l WHERE n > m""",
+)
+def p5_whole(spark, where):
+    """What a split must keep: every word once, the text itself, and pieces within the limit with the stated words and overlap."""
+    (limit,) = _limits(spark, where, "split")
+    w = Window.partitionBy("id").orderBy("piece")
+    words = F.regexp_extract_all("text", F.lit(f"({splitting.WORD_JVM})"))
+    rows = _split(spark, where).withColumn("w", words).withColumn("before", F.lag("w").over(w)).withColumn("until", F.lag("end_char").over(w))
+    shared = F.coalesce(F.slice("before", -F.col("overlap_words"), F.col("overlap_words")) == F.slice("w", F.lit(1), F.col("overlap_words")), F.lit(False))
+    later = F.col("piece") > 0
+    bad = (F.size("w") != F.col("n_words")) | (F.col("n_words") > limit.max_tokens) | (later & ((F.col("overlap_words") != limit.overlap_tokens) | ~shared))
+    # Without its overlap a piece begins where the one before it ends.
+    new = F.when(later, F.substring("text", F.col("until") - F.col("start_char") + 1, F.length("text"))).otherwise(F.col("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", new.alias("t")))), lambda x: x["t"]), "")  # one chunk's pieces
+    return (
+        rows.withColumn("bad", bad.cast("int"))
+        .groupBy("id")
+        .agg(F.sum(F.col("n_words") - F.col("overlap_words")).alias("new_words"), joined.alias("joined"), F.min("start_char").alias("lead"), F.sum("bad").cast("int").alias("faults"))
+        .select("id", "new_words", F.md5("joined").alias("md5"), (F.col("faults") + F.when(F.col("lead") != 0, 1).otherwise(0)).alias("faults"))
+    )
+
+
 @R.query(
     "p5_found",
     r"""SELECT DISTINCT id FROM chunks
@@ -69,6 +114,28 @@ def p8_shares(spark, where):
     return mixing.mix(load(spark, where, "documents"), load(spark, where, "mix_targets"))[1]
 
 
+@R.query(
+    "p8_bounds",
+    """WITH t AS (SELECT source, max(target_share) AS s, min(max_repeats) AS r FROM mix_targets WHERE source IS NOT NULL GROUP BY 1)
+    SELECT t.source, r AS max_repeats, (SELECT count(*) FROM documents d WHERE d.source = t.source) AS n_rows, true AS within, true AS near FROM t""",
+)
+def p8_bounds(spark, where):
+    """What a mix must keep: no document above its repeats, only documents of the source, and tokens within one document of the goal."""
+    d, t = load(spark, where, "documents"), load(spark, where, "mix_targets")
+    chosen, shares = mixing.mix(d, t)
+    rows = d.groupBy("source").agg(F.count("*").alias("n_rows"))
+    own = chosen.join(d.select("doc_id", F.col("source").alias("of")), "doc_id").groupBy("source").agg(
+        F.max("repeats").alias("most"), F.max("n_tokens").alias("longest"), F.bool_and(F.col("of") == F.col("source")).alias("mine")
+    )
+    out = shares.drop("most_repeats").join(own, "source", "left").join(rows, "source", "left")
+    gives = F.least(F.col("goal_tokens"), F.col("n_tokens") * F.col("max_repeats"))
+    return out.select(
+        "source", "max_repeats", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        ((F.coalesce("most", F.lit(0)) <= F.col("max_repeats")) & F.coalesce("mine", F.lit(True))).alias("within"),
+        (F.abs(F.col("chosen_tokens") - gives) <= F.coalesce("longest", F.lit(0))).alias("near"),
+    )
+
+
 #: The key of the pseudonyms in the queries; a production run passes a secret one.
 DEMO_KEY = b"millrace-demo-key"
 
@@ -104,6 +171,15 @@ def p7_near(spark, where):
     return leakage.find_leaks(load(spark, where, "documents"), load(spark, where, "eval_items"), edits=2, exact=False)
 
 
+@R.query(
+    "p7_contained",
+    "SELECT count(DISTINCT doc_id) * 0 AS lost FROM documents",
+)
+def p7_contained(spark, where):
+    """Exact leaks that the search with edits misses: there must be none."""
+    return p7_found(spark, where).join(p7_near(spark, where).select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti").agg(F.count("*").alias("lost"))
+
+
 @R.query("p9_found")
 def p9_found(spark, where):
     """Documents with a stretch garbled by a wrong decoding."""
@@ -116,7 +192,19 @@ def p9_restored(spark, where):
     return mojibake.find_garbled(load(spark, where, "documents"))
 
 
-@R.query("p3_found")
+_SETS = """WITH RECURSIVE d AS (SELECT DISTINCT id, source, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM doc WHERE text IS NOT NULL AND id IS NOT NULL),
+s AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) AS s FROM d WHERE len(w) >= 5),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT x.id AS a, y.id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
+p AS (SELECT a, b FROM b JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE common >= 0.7 * (x.n + y.n - common))"""
+_GROUPS = (
+    _SETS
+    + """, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), c AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.id),
+g AS (SELECT id, min(root) AS group_id FROM c GROUP BY 1)"""
+)
+
+
+@R.query("p3_found", _SETS + " SELECT a AS id_a, b AS id_b FROM p")
 def p3_found(spark, where):
     """Pairs of intake texts with similarity of at least 0.7."""
     return neardup.similar_pairs(load(spark, where, "doc"))
@@ -128,7 +216,18 @@ def p3_groups(spark, where):
     return neardup.groups(load(spark, where, "doc"))
 
 
-@R.query("p3_report")
+@R.query("p3_members", _GROUPS + " SELECT id, source, group_id FROM g JOIN (SELECT DISTINCT id, source FROM doc) USING (id)")
+def p3_members(spark, where):
+    """Every document of a group and the group's least id."""
+    return neardup.groups(load(spark, where, "doc")).select("id", "source", "group_id")
+
+
+@R.query(
+    "p3_report",
+    _GROUPS
+    + """ SELECT group_id, count(*) AS n_docs, count(DISTINCT coalesce(source, '')) AS n_sources, list_sort(list_distinct(list(coalesce(source, '')))) AS sources
+    FROM g JOIN (SELECT DISTINCT id, source FROM doc) USING (id) GROUP BY 1""",
+)
 def p3_report(spark, where):
     """Size of every group and the sources it spans."""
     return neardup.group_report(neardup.groups(load(spark, where, "doc")))
