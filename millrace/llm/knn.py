@@ -29,7 +29,9 @@ from millrace.tables import bounded
 
 #: Vectors of one cell on average, and sample rows per cell and at most.
 CELL, SAMPLE_PER_CELL, MAX_SAMPLE = 32_768, 512, 65_536
-MAX_KINDS = 200
+#: Kinds of vectors at most (their top trees are shipped to every task), and sample rows of all kinds on average.
+MAX_KINDS, MAX_DRAWN = 10_000, 131_072
+_HASHES = 1 << 40
 #: Top trees, and cells a query visits besides its own ones.
 TOP_TREES, EXTRA_CELLS = 2, 1
 #: Trees of a cell's forest, members of a leaf, leaves a query reaches besides its own ones.
@@ -327,6 +329,33 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
 
 
+def _draw(good: DataFrame, counts: dict) -> dict[tuple, np.ndarray]:
+    """Samples of all kinds that need more than one cell, in one pass: rows whose hash of the id is below the kind's rate.
+
+    A sample has about ``SAMPLE_PER_CELL`` rows a cell, at most ``MAX_SAMPLE`` a
+    kind and ``MAX_DRAWN`` in all, on average.
+    """
+    size = {k: min(MAX_SAMPLE, SAMPLE_PER_CELL * max(1, n // CELL)) for k, n in counts.items() if n > CELL}
+    if not size:
+        return {}
+    less = min(1.0, MAX_DRAWN / sum(size.values()))
+    rows = [(*k, int(less * m / counts[k] * _HASHES)) for k, m in size.items()]
+    at = F.pmod(F.xxhash64("id"), F.lit(_HASHES))
+    if len(rows) <= 100:  # as one expression; the same as the join
+        taken = F.lit(False)
+        for k, d, rate in rows:
+            taken = taken | (F.col("kind").eqNullSafe(F.lit(k)) & (F.col("dim") == d) & (at < rate))
+        some = good.where(taken)
+    else:
+        rates = good.sparkSession.createDataFrame(rows, "k string, d int, rate long")
+        some = good.join(F.broadcast(rates), F.col("kind").eqNullSafe(F.col("k")) & (F.col("dim") == F.col("d"))).where(at < F.col("rate"))
+    out: dict = {}
+    for batch in some.select("kind", "dim", "id", "vec", F.lit(False).alias("asks")).toArrow().to_batches():
+        for key, ids, x, _ in _by_kind(batch):
+            out.setdefault(key, []).append((ids, x))
+    return {k: np.concatenate([x for _, x in v])[np.argsort(np.concatenate([i for i, _ in v]), kind="stable")] for k, v in out.items()}
+
+
 def _settle(good: DataFrame, hot: Hot, k: int, least: float) -> None:
     """Choose the copies of hot vectors that are indexed, and find what the others are nearest to.
 
@@ -402,17 +431,17 @@ def nearest(
     tops: dict = {}
     hot = Hot()
     base = 0
-    counted = good.groupBy("kind", "dim").count()
-    for r in sorted(bounded(counted, MAX_KINDS, "kinds of vectors"), key=lambda r: (r.kind or "", r.kind is None, r.dim)):
-        cells = max(1, r["count"] // CELL)
-        sample = min(MAX_SAMPLE, SAMPLE_PER_CELL * cells)
-        one = good.where(F.col("kind").eqNullSafe(F.lit(r.kind)) & (F.col("dim") == r.dim))
-        x = one.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow() if r["count"] > CELL else None
-        rows = _matrix(x.column("vec").combine_chunks(), r.dim) if x is not None else np.ones((1, r.dim), np.float32)
-        few = hot.add((r.kind, r.dim), rows, r["count"]) if x is not None else rows
-        top = Top(r.kind, r.dim, few, round(r["count"] * len(few) / len(rows)), base)
+    counts = {(r.kind, r.dim): r["count"] for r in bounded(good.groupBy("kind", "dim").count(), MAX_KINDS, "kinds of vectors")}
+    drawn = _draw(good, counts)
+    for key in sorted(counts, key=lambda k: (k[0] or "", k[0] is None, k[1])):
+        n, x = counts[key], drawn.get(key)
+        if x is None or not len(x):
+            top = Top(*key, np.ones((1, key[1]), np.float32), n, base)
+        else:
+            few = hot.add(key, x, n)
+            top = Top(*key, few, round(n * len(few) / len(x)), base)
         base = top.next
-        tops[r.kind, r.dim] = top
+        tops[key] = top
     if hot.vectors:
         _settle(good, hot, k, least)
     shipped = spark.sparkContext.broadcast((tops, hot))
