@@ -216,3 +216,28 @@ def test_tokens_of_long_runs_are_those_of_the_tokenizer():
     for text in (link, "Some words before " + link + " and after.", "é" * 50_000, "x" * 100_000):
         assert M.count_tokens(text) == len(enc.encode_ordinary(text))
         assert enc.decode(enc.encode_ordinary(text)) == text
+
+
+def test_items_in_blocks_are_searched_against_all_documents(spark, monkeypatch):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(30))) for i in range(40)]
+    docs = [(d, " ".join(rng.choice(vocab) for _ in range(20)) + " " + " ".join(items[d % 40][1].split()[5:20])) for d in range(60)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = {(r.doc_id, r.item_id, r.words) for r in L.find_leaks(df, it).collect()}
+    monkeypatch.setattr(L, "BLOCK_CHARS", 1000)
+    monkeypatch.setattr(L, "AT_ONCE", 500)
+    assert {(r.doc_id, r.item_id, r.words) for r in L.find_leaks(df, it).collect()} == whole and len(whole) >= 60
+
+
+def test_runs_leave_ordinary_foreign_text_out():
+    """Of common pairs none is in a run; of a garbled stretch all are."""
+    common = ["Die Prüfung der Märkte läuft für größere Käufer täglich."] * 200 + ["Le marché fermé à été réévalué."] * 200
+    rare = [" ".join(chr(0x430 + i) + chr(0x430 + j) for j in range(30)) for i in range(30)]  # a corpus has many pairs that are seen once
+    stats = G.Pairs(*G.Pairs.count([*common, *rare, "Die PrÃ¼fung lÃ¤uft."]))
+    inside = lambda t: G._marks(t, stats, G.GENEROSITY)
+    marks = inside(common[0])
+    assert marks is None or not any(m for m, c in zip(marks, common[0]) if c > "\x7f")
+    text = "Die PrÃ¼fung lÃ¤uft."
+    assert all(m for m, c in zip(inside(text), text) if c > "\x7f")
+    assert G.restore(text, stats)[0] == "Die Prüfung läuft." and G.restore(common[0], stats)[1] == 0

@@ -82,3 +82,27 @@ def test_operators(spark):
 
 def test_long_text_without_items():
     assert P.find("word " * 200_000, GIVEN, FAMILY) == [] and P.find("A" * 300_000, GIVEN, FAMILY) == []
+
+
+def test_dates_keep_their_notation():
+    from datetime import date
+
+    key = b"k"
+    text = "Born 1984-03-07, seen 07/03/1984 and March 7, 1984, not 1984-13-45 or 10.27.0.16 or 2-1-3; in 7 MAR 1984."
+    found = P.find_dates(text)
+    assert [d[2] for d in found] == [date(1984, 3, 7)] * 4
+    shown = P.mask(text, [], key, found)
+    day = P.permute_date(date(1984, 3, 7), key, P.FIRST_DAY, P.DAYS)
+    month = P._MONTHS[day.month - 1]
+    assert f"[DATE {day:%Y-%m-%d}]" in shown and f"[DATE {day:%d/%m/%Y}]" in shown and f"[DATE {month.capitalize()} {day.day}, {day.year}]" in shown
+    assert f"[DATE {day.day} {month[:3].upper()} {day.year}]" in shown and "1984-13-45" in shown
+    assert P.permute_date(day, key, P.FIRST_DAY, P.DAYS, back=True) == date(1984, 3, 7)
+    assert P.find_dates(None) == P.find_dates("") == []
+
+
+def test_letters_and_tags():
+    for word in ("ABCD", "ab", "x", "Zz12"):
+        assert P.permute_letters(P.permute_letters(word, b"k"), b"k", back=True) == word
+    assert len(P.pseudonym("name", "Ann Lee", b"k").split()[1].rstrip("]")) == 32
+    a, b = P.pseudonym("id_number", "GB82WEST12345698765432", b"k"), P.pseudonym("id_number", "GB82 WEST 1234 5698 7654 32", b"k")
+    assert "WEST" not in a and "WEST" not in b
