@@ -220,12 +220,8 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def bm25(ix: Index, asked: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B, digits: int | None = 9) -> DataFrame:
-    """(query, doc, score, rank) with the inverse frequency ln((n - df + 0.5) / df + 1).
-
-    Scores are rounded to ``digits`` before ranking, so that sums taken in another
-    order rank alike. Queries without a known term give no row.
-    """
+def bm25_measure(k1: float = K1, b: float = B) -> tuple[Callable, Callable]:
+    """``weigh`` and ``value`` of :func:`_top` for :func:`bm25`."""
 
     def weigh(rows: list[tuple], n: int) -> list[float]:
         return [times * math.log((n - df + 0.5) / df + 1.0) for _, times, df in rows]
@@ -233,11 +229,20 @@ def bm25(ix: Index, asked: DataFrame, k: int = CANDIDATES, k1: float = K1, b: fl
     def value(tf, dl, norm, df, n, avgdl):
         return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / max(avgdl, 1.0)))
 
-    return _top(ix, asked, k, digits, weigh, value)
+    return weigh, value
 
 
-def tfidf(ix: Index, asked: DataFrame, k: int = CANDIDATES, digits: int | None = 9) -> DataFrame:
-    """Cosine of sparse vectors fitted on the collection; unknown query terms count for nothing."""
+def bm25(ix: Index, asked: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B, digits: int | None = 9) -> DataFrame:
+    """(query, doc, score, rank) with the inverse frequency ln((n - df + 0.5) / df + 1).
+
+    Scores are rounded to ``digits`` before ranking, so that sums taken in another
+    order rank alike. Queries without a known term give no row.
+    """
+    return _top(ix, asked, k, digits, *bm25_measure(k1, b))
+
+
+def tfidf_measure() -> tuple[Callable, Callable]:
+    """``weigh`` and ``value`` of :func:`_top` for :func:`tfidf`."""
 
     def weigh(rows: list[tuple], n: int) -> list[float]:
         raw = [(1 + math.log(times)) * (math.log((n + 1) / (df + 1)) + 1) for _, times, df in rows]
@@ -247,7 +252,12 @@ def tfidf(ix: Index, asked: DataFrame, k: int = CANDIDATES, digits: int | None =
     def value(tf, dl, norm, df, n, avgdl):
         return (1 + np.log(tf)) * (np.log((n + 1) / (df + 1)) + 1) / norm
 
-    return _top(ix, asked, k, digits, weigh, value)
+    return weigh, value
+
+
+def tfidf(ix: Index, asked: DataFrame, k: int = CANDIDATES, digits: int | None = 9) -> DataFrame:
+    """Cosine of sparse vectors fitted on the collection; unknown query terms count for nothing."""
+    return _top(ix, asked, k, digits, *tfidf_measure())
 
 
 def fuse(first: DataFrame, second: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
@@ -275,21 +285,22 @@ def answers(found: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
     return near.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("answer"))
 
 
-def evaluate(found: DataFrame, golden: DataFrame, answered: DataFrame | None = None) -> DataFrame:
+def evaluate(found: DataFrame, golden: DataFrame, answered: DataFrame | None = None, by: str = "query") -> DataFrame:
     """Per question: rank of the first hit of its gold group, hit in the first 5 and 3, reciprocal rank, and whether the answer holds what it must.
 
     golden: (query, gold, type, must_contain). Questions without a hit have rank
     null and count 0. ``answer_hit`` is null without answers and for questions
-    that ask nothing of them; a question without an answer fails.
+    that ask nothing of them; a question without an answer fails. Questions may
+    share hits and answers: then ``by`` is the column of golden that names these.
     """
     first = (
-        found.select("query", "grp", "rank").join(golden.select("query", "gold"), "query").where("grp = gold").groupBy("query").agg(F.min("rank").alias("first_rank"))
+        found.select(F.col("query").alias(by), "grp", "rank").join(golden.select(*dict.fromkeys(["query", by, "gold"])), by).where("grp = gold").groupBy("query").agg(F.min("rank").alias("first_rank"))
     )
     r = F.col("first_rank")
     out = golden.join(first, "query", "left")
     hit = F.lit(None).cast("int")
     if answered is not None:
-        out = out.join(answered, "query", "left")
+        out = out.join(answered.withColumnRenamed("query", by), by, "left")
         hit = F.when(F.col("must_contain").isNotNull(), X.check_answer(F.coalesce("answer", F.lit("")), F.col("must_contain")).cast("int"))
     return out.select(
         "query",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import annindex as A
+from millrace.operators import manyqueries as M
 from millrace.operators import nearest as N
 from millrace.operators import retrieval as Q
 from millrace.plans.registry import Registry
@@ -66,6 +67,8 @@ _ALL = _INDEX.replace(" WHERE TRY_CAST(regexp_extract(id, '(\\d+)', 1) AS BIGINT
 
 #: Stored indexes of this process by application, folder and state of the chunks table.
 _STORED: dict[tuple, str] = {}
+#: Stored collections for evaluations, likewise.
+_COUNTED: dict[tuple, M.Collection] = {}
 
 
 def _index(spark, where):
@@ -88,8 +91,8 @@ def index_stats(spark, where):
     return Q.stats(_index(spark, where))
 
 
-def _lists(spark, where, asked=None):
-    asked = _asked(spark, where) if asked is None else asked
+def _lists(spark, where):
+    asked = _asked(spark, where)
     ix, terms = _index(spark, where), Q.query_terms(asked, "id", "question")
     return _chunks(spark, where), asked, Q.bm25(ix, terms), Q.tfidf(ix, terms)
 
@@ -104,23 +107,37 @@ def tfidf_topk(spark, where):
     return _lists(spark, where)[3].select("query", "doc", "score", "rank")
 
 
-def _hits(spark, where, asked=None):
-    chunks, asked, a, b = _lists(spark, where, asked)
+def _hits(spark, where):
+    chunks, _, a, b = _lists(spark, where)
     groups = chunks.select(F.col("id").alias("doc"), F.col("doc").alias("grp"))
-    return Q.hits(Q.fuse(a, b), groups), asked
+    return Q.hits(Q.fuse(a, b), groups)
 
 
 @R.query("hybrid_hits", _INDEX + "SELECT query, doc, grp, rank FROM h")
 def hybrid_hits(spark, where):
     """Fused lexical and sparse lists, at most two chunks per file."""
-    return _hits(spark, where)[0].select("query", "doc", "grp", "rank")
+    return _hits(spark, where).select("query", "doc", "grp", "rank")
+
+
+def _collection(spark, where):
+    key = (spark.sparkContext.applicationId, where, stamp(spark, f"{where}/chunks.parquet"))
+    if key not in _COUNTED:
+        _COUNTED[key] = M.collection(_chunks(spark, where), "id", "doc")
+    return _COUNTED[key]
 
 
 def _evaluated(spark, where):
-    found, asked = _hits(spark, where, _golden(spark, where))
-    found = found.persist()  # six rows a question, read twice
-    answered = Q.answers(found, _chunks(spark, where).select(F.col("id").alias("doc"), "text"))
-    return Q.evaluate(found, asked.select(F.col("id").alias("query"), F.col("gold_doc").alias("gold"), "type", "must_contain"), answered)
+    asked, held = _golden(spark, where), _collection(spark, where)
+    terms = Q.query_terms(asked, "id", "question")
+    bags = M.alike(terms).persist()  # a row a question
+    first = terms.join(bags.where("query = bag").select("query"), "query", "left_semi")
+    lists = M.search(held, first, [Q.bm25_measure(), Q.tfidf_measure()]).persist()  # at most forty rows a bag, read twice
+    fused = Q.fuse(lists.where("measure = 0"), lists.where("measure = 1"))
+    found = Q.hits(fused, held.docs.select("doc", "grp")).select("query", "doc", "grp", "rank").persist()  # six rows a bag
+    texts = M.only(load(spark, where, "chunks").select("id", "text"), "id", found.where("rank <= 5").select("doc").distinct())
+    answered = Q.answers(found, texts.dropDuplicates(["id"]).withColumnRenamed("id", "doc"))
+    golden = asked.select(F.col("id").alias("query"), F.col("gold_doc").alias("gold"), "type", "must_contain").join(bags, "query", "left")
+    return Q.evaluate(found, golden, answered, "bag")
 
 
 @R.query("retrieval_eval", _ALL + "SELECT query, first_rank, recall_5, precision_3, round(rr, 6) AS rr, answer_hit FROM e")
